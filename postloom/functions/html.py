@@ -22,12 +22,17 @@ _MARKUP = f"(?is){_CODE}|{_TAG}"
 _ANCHOR = rf"""(?is)<a\s(?:[^"'>]+|"[^"]*"|'[^']*')*>.*?</a\s*>"""
 _HREF = r"""(?is)^<a(?:\s(?:[^"'>]+|"[^"]*"|'[^']*')*?)?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
-_NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\xa0"))
+# The references met on most pages.
+_NAMED = {
+    "lt": "<", "gt": ">", "quot": '"', "#39": "'", "#x27": "'", "nbsp": "\xa0", "copy": "©",
+    "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»",
+}
+_RARE = f"&(?!(?:amp|{'|'.join(_NAMED)});)[#A-Za-z]"
 
 
 def _unescape_common(text: Column) -> Column:
-    for entity, char in _NAMED:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    for name, char in _NAMED.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))  # last, so that nothing is read twice
 
 
@@ -42,7 +47,7 @@ def unescape(text: Column) -> Column:
     The common ones are replaced inside the JVM; only texts with other references are sent to
     Python (the rest crosses as NULL), where the full HTML 5 table is at hand.
     """
-    rare = text.rlike(r"&(?!(?:lt|gt|quot|amp|nbsp|#39|#x27);)[#A-Za-z]")
+    rare = text.rlike(_RARE)
     return F.coalesce(_unescape_udf()(F.when(rare, text)), _unescape_common(text))
 
 

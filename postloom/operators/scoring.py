@@ -57,9 +57,6 @@ class _Wishes:
     def weight(self, tech: str) -> float:
         return v.MUST_HAVE_FACTOR if tech in self.must else 1.0
 
-    def names(self, techs) -> list[str]:
-        return [self.dictionary.name(t) for t in techs]
-
 
 def _texts(df: DataFrame) -> DataFrame:
     flat = {
@@ -112,115 +109,138 @@ def _listed(names: Column) -> Column:
     return F.array_join(names, ", ")
 
 
-def score_postings(df: DataFrame, profile: MatchProfile | None = None) -> DataFrame:
-    """Add ``score`` (0 to 100, two decimals) and ``score_reasons``."""
-    profile = profile or MatchProfile()
-    w = _Wishes(profile)
-    columns = df.columns
-    if not w.techs:
-        nothing = lit_array([])
-        reasons = _reasons(F.lit(0.0), nothing, nothing, F.lit(1.0), nothing, lit_array([v.REASON_NO_STACK]))
-        return df.withColumns({"score": F.lit(0.0), "score_reasons": reasons})
-
+def _judged(df: DataFrame, profile: MatchProfile, w: _Wishes) -> DataFrame:
+    """``df`` with every ingredient of the score as a ``__`` column, each computed once."""
+    if not {"salary_min", "salary_max", "remote_type"} <= set(df.columns):
+        raise ValueError("scoring needs salary_min, salary_max and remote_type")
     scores = F.col("__scores")
-    matched = F.array_compact(
-        F.array(*[F.when(scores[i] > 0, n) for i, n in enumerate(w.names(w.techs))])
-    )
-    missing = F.array_compact(
-        F.array(*[F.when(scores[i] <= 0, n) for i, n in enumerate(w.names(w.techs))])
-    )
-    missing_must = F.array_compact(
-        F.array(
-            *[F.when(scores[w.techs.index(t)] <= 0, w.dictionary.name(t)) for t in w.must]
-        )
-    ) if w.must else lit_array([])
+    combined, found = F.col("__combined"), F.col("__context")
 
-    if not {"salary_min", "salary_max", "remote_type"} <= set(df.columns):
-        raise ValueError("score_postings needs salary_min, salary_max and remote_type")
-    combined = F.col("__combined")
-    remote_type = F.lower(normalize_text(F.col("remote_type")))
-    remote = remote_type.isin("remote", "remoto") | combined.contains("remot")
-    found = F.col("__context")
+    def picked(techs, hit: bool) -> Column:
+        places = [(w.techs.index(t), w.dictionary.name(t)) for t in techs]
+        tests = [F.when(scores[i] > 0 if hit else scores[i] <= 0, n) for i, n in places]
+        return F.array_compact(F.array(*tests)) if tests else lit_array([])
 
     def mentions(term: str) -> Column:
         return found_in(found, [term], w.context)
 
+    def paid(name: str) -> Column:
+        return F.coalesce(F.col(name) != 0, F.lit(False))
+
     near = F.lit(False)
     for place in w.places:
         near = near | mentions(place)
-    paid = F.coalesce(F.col("salary_min") != 0, F.lit(False)) | F.coalesce(
-        F.col("salary_max") != 0, F.lit(False)
-    )
-    level = F.coalesce(F.nullif(F.col("seniority"), F.lit("")), F.lit(v.REASON_SENIORITY_UNKNOWN))
-    factor = F.col("__factor")
-
-    bonus = (
-        F.when(F.col("__remote"), v.REMOTE_BONUS).otherwise(0.0)
-        + F.when(F.col("__near"), v.LOCATION_BONUS).otherwise(0.0)
-        + F.when(F.col("__paid"), v.SALARY_BONUS).otherwise(0.0)
-    )
-    not_remote = ~F.col("__remote") if profile.remote_only else F.lit(False)
-    penalty = F.when(not_remote, v.NOT_REMOTE_PENALTY).otherwise(0.0) + F.when(
-        F.col("__paid"), 0.0
-    ).otherwise(v.NO_SALARY_PENALTY)
-    for keyword in w.keywords:
-        penalty = penalty + F.when(mentions(keyword), v.NEGATIVE_KEYWORD_PENALTY).otherwise(0.0)
-    penalty = penalty + F.when(
-        F.size("__missing_must") > 0, v.MISSING_MUST_PENALTY
-    ).otherwise(0.0)
-
-    positive = F.array_compact(
-        F.array(
-            F.when(F.size("__matched") > 0, F.concat(F.lit(v.REASON_FOUND), _listed(F.col("__matched")))),
-            F.when(factor == 1, F.concat(F.lit(v.REASON_SENIORITY_FITS), level)),
-            F.when(F.col("__remote"), v.REASON_REMOTE),
-            F.when(F.col("__near"), v.REASON_LOCATION),
-            F.when(F.col("__paid"), v.REASON_SALARY),
+    remote_type = F.lower(normalize_text(F.col("remote_type")))
+    everything = F.concat_ws(" ", "__title", "__stack", "__description", "__location")
+    return (
+        _with_tech_scores(_texts(df), w, "__scores")
+        .withColumn("__combined", everything)
+        .withColumns(
+            {
+                "__context": spellings_in(combined, w.context) if w.context else lit_array([]),
+                "__remote": remote_type.isin("remote", "remoto") | combined.contains("remot"),
+                "__paid": paid("salary_min") | paid("salary_max"),
+                "__factor": seniority_factor(F.col("seniority"), profile.seniority),
+                "__base": base_score(scores, profile),
+                "__matched": picked(w.techs, True),
+                "__missing": picked(w.techs, False),
+                "__missing_must": picked(w.must, False),
+            }
         )
-    )
-    negative = F.array_compact(
-        F.array(
-            F.when(F.size("__missing") > 0, F.concat(F.lit(v.REASON_NOT_FOUND), _listed(F.col("__missing")))),
-            F.when(
-                F.size("__missing_must") > 0,
-                F.concat(F.lit(v.REASON_MISSING_MUST), _listed(F.col("__missing_must"))),
-            ),
-            F.when(factor == 0, F.concat(F.lit(v.REASON_SENIORITY_MISFIT), level)).when(
-                factor != 1, F.concat(F.lit(v.REASON_SENIORITY_PENALTY), level)
-            ),
-            F.when(not_remote, v.REASON_NOT_REMOTE),
-            F.when(~F.col("__paid"), v.REASON_NO_SALARY),
-            *[F.when(mentions(k), v.REASON_NEGATIVE + k) for k in w.keywords],
+        .withColumns(
+            {
+                "__near": near,
+                "__bad_words": F.array_compact(
+                    F.array(*[F.when(mentions(k), F.lit(k)) for k in w.keywords])
+                    if w.keywords
+                    else lit_array([])
+                ),
+            }
         )
+        .withColumns({"__bonus": _bonus(), "__penalty": _penalty(profile)})
     )
-    raw_value = F.col("__base") * factor + F.col("__bonus") - F.col("__penalty")
-    value = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw_value)), 2)
 
-    scored = _with_tech_scores(_texts(df), w, "__scores").withColumn(
-        "__combined", F.concat_ws(" ", "__title", "__stack", "__description", "__location")
+
+def _bonus() -> Column:
+    def worth(test: str, value: float) -> Column:
+        return F.when(F.col(test), value).otherwise(0.0)
+
+    return worth("__remote", v.REMOTE_BONUS) + worth("__near", v.LOCATION_BONUS) + worth("__paid", v.SALARY_BONUS)
+
+
+def _not_remote(profile: MatchProfile) -> Column:
+    return ~F.col("__remote") if profile.remote_only else F.lit(False)
+
+
+def _penalty(profile: MatchProfile) -> Column:
+    def costs(test: Column, value: float) -> Column:
+        return F.when(test, value).otherwise(0.0)
+
+    return (
+        costs(_not_remote(profile), v.NOT_REMOTE_PENALTY)
+        + costs(~F.col("__paid"), v.NO_SALARY_PENALTY)
+        + F.size("__bad_words") * v.NEGATIVE_KEYWORD_PENALTY
+        + costs(F.size("__missing_must") > 0, v.MISSING_MUST_PENALTY)
     )
-    scored = scored.withColumns(
-        {
-            "__context": spellings_in(combined, w.context) if w.context else lit_array([]),
-            "__remote": remote,
-            "__paid": paid,
-            "__factor": seniority_factor(F.col("seniority"), profile.seniority),
-            "__base": base_score(scores, profile),
-            "__matched": matched,
-            "__missing": missing,
-            "__missing_must": missing_must,
-        }
-    ).withColumn("__near", near)
-    scored = scored.withColumns({"__bonus": bonus, "__penalty": penalty}).withColumn("score", value)
+
+
+def context_adjustments(df: DataFrame, profile: MatchProfile | None = None) -> DataFrame:
+    """Add ``bonus`` and ``penalty``: work model, place, salary, negative words, missing musts."""
+    profile = profile or MatchProfile()
+    judged = _judged(df, profile, _Wishes(profile))
+    return judged.select(*df.columns, F.col("__bonus").alias("bonus"), F.col("__penalty").alias("penalty"))
+
+
+def _explanations(profile: MatchProfile) -> tuple[Column, Column]:
+    """(positive, negative) reasons in their fixed order."""
+    factor = F.col("__factor")
+    level = F.coalesce(F.nullif(F.col("seniority"), F.lit("")), F.lit(v.REASON_SENIORITY_UNKNOWN))
+
+    def naming(text: str, names: str) -> Column:
+        return F.when(F.size(names) > 0, F.concat(F.lit(text), _listed(F.col(names))))
+
+    positive = [
+        naming(v.REASON_FOUND, "__matched"),
+        F.when(factor == 1, F.concat(F.lit(v.REASON_SENIORITY_FITS), level)),
+        F.when(F.col("__remote"), v.REASON_REMOTE),
+        F.when(F.col("__near"), v.REASON_LOCATION),
+        F.when(F.col("__paid"), v.REASON_SALARY),
+    ]
+    negative = [
+        naming(v.REASON_NOT_FOUND, "__missing"),
+        naming(v.REASON_MISSING_MUST, "__missing_must"),
+        F.when(factor == 0, F.concat(F.lit(v.REASON_SENIORITY_MISFIT), level)).when(
+            factor != 1, F.concat(F.lit(v.REASON_SENIORITY_PENALTY), level)
+        ),
+        F.when(_not_remote(profile), v.REASON_NOT_REMOTE),
+        F.when(~F.col("__paid"), v.REASON_NO_SALARY),
+    ]
+    words = F.transform("__bad_words", lambda k: F.concat(F.lit(v.REASON_NEGATIVE), k))
+    return (
+        distinct_ignoring_case(F.array_compact(F.array(*positive))),
+        distinct_ignoring_case(F.concat(F.array_compact(F.array(*negative)), words)),
+    )
+
+
+def score_postings(df: DataFrame, profile: MatchProfile | None = None) -> DataFrame:
+    """Add ``score`` (0 to 100, two decimals) and ``score_reasons``."""
+    profile = profile or MatchProfile()
+    w = _Wishes(profile)
+    if not w.techs:
+        nothing, none = lit_array([]), F.lit(0.0)
+        reasons = _reasons(none, nothing, nothing, F.lit(1.0), nothing, lit_array([v.REASON_NO_STACK]))
+        return df.withColumns({"score": none, "score_reasons": reasons})
+    judged = _judged(df, profile, w)
+    raw = F.col("__base") * F.col("__factor") + F.col("__bonus") - F.col("__penalty")
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2)
     reasons = _reasons(
-        F.col("score"),
-        F.col("__matched"),
-        F.col("__missing"),
-        factor,
-        distinct_ignoring_case(positive),
-        distinct_ignoring_case(negative),
+        F.col("score"), F.col("__matched"), F.col("__missing"), F.col("__factor"), *_explanations(profile)
+    )
+    return (
+        judged.withColumn("score", score)
+        .withColumn("score_reasons", reasons)
+        .select(*df.columns, "score", "score_reasons")
     )
-    return scored.withColumn("score_reasons", reasons).select(*columns, "score", "score_reasons")
 
 
 def _reasons(value, matched, missing, factor, positive, negative) -> Column:
