@@ -10,9 +10,10 @@ from postloom.functions.text import (
     SPACE,
     WORD,
     bound,
-    found_in,
     has_word,
+    lit_rows,
     normalize_text,
+    signs_of,
     spellings_in,
     strip,
     text_or_null,
@@ -24,36 +25,39 @@ SENIORITY_SPELLINGS = sorted({squeeze(k) for group in v.SENIORITY_KEYWORDS.value
 
 def seniority_in(text: Column, found: Column, spellings: list[str]) -> Column:
     """Level of the keyword that comes first in ``text`` among the ones shown by ``found``."""
-    hits = [
-        F.when(
-            found_in(found, [word], spellings),
-            F.struct(
-                F.locate(word, text).alias("at"),
-                F.lit(rank).alias("rank"),
-                F.lit(level).alias("level"),
-            ),
-        )
+    keywords = [
+        {"word": word, "rank": rank, "level": level, "signs": signs_of([word], spellings)}
         for rank, (level, words) in enumerate(v.SENIORITY_KEYWORDS.items())
         for word in words
     ]
-    return F.array_min(F.array_compact(F.array(*hits)))["level"]
+    shown = F.filter(lit_rows(keywords), lambda k: F.arrays_overlap(found, k["signs"]))
+    places = F.transform(
+        shown,
+        lambda k: F.struct(
+            F.position(k["word"], text).alias("at"), k["rank"].alias("rank"), k["level"].alias("level")
+        ),
+    )
+    return F.when(F.size(found) > 0, F.array_min(places)["level"])
 
 
 def estimate_seniority(text: Column) -> Column:
     """Level whose keyword is first in ``text`` (from ``joined``); ties go to the lower level."""
-    found = spellings_in(text, SENIORITY_SPELLINGS)
-    return bound(found, lambda f: seniority_in(text, f, SENIORITY_SPELLINGS))
+
+    def in_text(t: Column) -> Column:
+        found = spellings_in(t, SENIORITY_SPELLINGS)
+        return bound(found, lambda f: seniority_in(t, f, SENIORITY_SPELLINGS))
+
+    return bound(text, in_text)
 
 
 def seniority_by_priority(text: Column) -> Column:
     """Junior words beat mid-level words, which beat senior words, wherever they stand."""
-    return _first_match(F.lower(text), v.SENIORITY_PRIORITY)
+    return bound(F.lower(text), lambda t: _first_match(t, v.SENIORITY_PRIORITY))
 
 
 def _first_match(text: Column, words_of: dict[str, tuple[str, ...]]) -> Column:
-    return F.coalesce(
-        *[F.when(has_word(text, words), F.lit(name)) for name, words in words_of.items()]
-    )
+    """Name of the first group with a word in ``text``."""
+    return F.coalesce(*[F.when(has_word(text, words), name) for name, words in words_of.items()])
 
 
 # --- salary -----------------------------------------------------------------------------------
@@ -68,8 +72,9 @@ def parse_number(raw: Column) -> Column:
         )
         .otherwise(F.replace(raw, F.lit(","), F.lit(".")))
     )
-    value = plain.try_cast("decimal(38,10)")
-    scaled = F.when(value < 100, value * 1000).otherwise(value)
+    scaled = bound(
+        plain.try_cast("decimal(38,10)"), lambda n: F.when(n < 100, n * 1000).otherwise(n)
+    )
     return F.bround(scaled, 2).try_cast("decimal(28,2)")
 
 
@@ -102,7 +107,8 @@ def parse_salary(text: Column) -> Column:
 
 
 def parse_contract_type(*texts: Column) -> Column:
-    return _first_match(F.lower(F.concat_ws(" ", *texts)), v.CONTRACT_WORDS)
+    text = F.lower(F.concat_ws(" ", *texts))
+    return bound(text, lambda t: _first_match(t, v.CONTRACT_WORDS))
 
 
 def _place_text(location: Column, description: Column) -> Column:
@@ -110,17 +116,20 @@ def _place_text(location: Column, description: Column) -> Column:
 
 
 def parse_remote_type(location: Column, description: Column) -> Column:
-    return _first_match(_place_text(location, description), v.REMOTE_WORDS)
+    return bound(_place_text(location, description), lambda t: _first_match(t, v.REMOTE_WORDS))
 
 
-def parse_country(location: Column, description: Column) -> Column:
-    at_home = has_word(_place_text(location, description), v.HOME_COUNTRY_WORDS)
+def _country(text: Column, location: Column) -> Column:
     last_part = strip(F.element_at(F.split(location, ","), -1))
-    return F.when(at_home, v.HOME_COUNTRY).when(
+    return F.when(has_word(text, v.HOME_COUNTRY_WORDS), v.HOME_COUNTRY).when(
         location.contains(","), F.nullif(last_part, F.lit(""))
     )
 
 
+def parse_country(location: Column, description: Column) -> Column:
+    return bound(_place_text(location, description), lambda t: _country(t, location))
+
+
 def parse_city(location: Column) -> Column:
     first = strip(F.split(location, "[,/|-]", 2)[0])
     return F.when(
@@ -134,13 +143,23 @@ def normalize_location(location: Column, remote_type: Column) -> Column:
 
 
 def parse_location(location: Column, description: Column) -> Column:
-    remote = parse_remote_type(location, description)
-    return F.struct(
-        remote.alias("remote_type"),
-        parse_country(location, description).alias("country"),
-        parse_city(location).alias("city"),
-        normalize_location(location, remote).alias("normalized_location"),
-    )
+    """STRUCT of work model, country, city and normalised place; the text is read once."""
+
+    def place(found: Column) -> Column:
+        return F.struct(
+            found["remote_type"].alias("remote_type"),
+            found["country"].alias("country"),
+            parse_city(location).alias("city"),
+            normalize_location(location, found["remote_type"]).alias("normalized_location"),
+        )
+
+    def found(text: Column) -> Column:
+        return F.struct(
+            _first_match(text, v.REMOTE_WORDS).alias("remote_type"),
+            _country(text, location).alias("country"),
+        )
+
+    return bound(bound(_place_text(location, description), found), place)
 
 
 # --- fields written into the text of an issue or page ------------------------------------------------

@@ -89,7 +89,9 @@ def listing_links(page: Column, base: Column, marker: str = v.LISTING_PATH_MARKE
 def _elements_udf(firsts: dict, alls: dict):
     fields = [f"{n} string" for n in firsts] + [f"{n} array<string>" for n in alls]
     schema = ", ".join([*fields, "text string", "lines string"])
-    return F.arrow_udf(batches.read_pages(firsts, alls), schema)
+    # Not deterministic in name only: otherwise a filter on the result is pushed below it, with a
+    # copy of the call, and every page is parsed twice.
+    return F.arrow_udf(batches.read_pages(firsts, alls), schema).asNondeterministic()
 
 
 # Where listing cards and detail pages keep their parts.

@@ -13,9 +13,9 @@ from postloom.functions.text import WORD, lit_array
 # Spellings of the levels that count as equal in a key, with a substring each
 # spelling contains.  A full stop is part of the spelling only when a word follows at once.
 _LEVELS = (
-    ("senior", rf"sr\.(?=[{WORD}])|sr(?![{WORD}])", ("sr",)),
-    ("junior", rf"jr\.(?=[{WORD}])|jr(?![{WORD}])", ("jr",)),
-    ("pleno", rf"mid[- ]?level(?![{WORD}])", ("mid",)),
+    ("senior", rf"sr\.(?=[{WORD}])|sr(?![{WORD}])", "sr"),
+    ("junior", rf"jr\.(?=[{WORD}])|jr(?![{WORD}])", "jr"),
+    ("pleno", rf"mid[- ]?level(?![{WORD}])", "mid"),
 )
 
 
@@ -33,20 +33,22 @@ def fold_accents(texts: Column) -> Column:
     return F.coalesce(_fold_udf()(F.when(foreign, texts)), texts)
 
 
-def _words(folded: Column) -> Column:
-    """Lower-case words with one space between them and one spelling per level."""
-    text = F.lower(folded)
-    for level, pattern, parts in _LEVELS:
-        unified = F.regexp_replace(text, rf"(?<![{WORD}])(?:{pattern})", level)
-        for part in parts:
-            text = F.when(text.contains(part), unified).otherwise(text)
-    return F.trim(F.regexp_replace(text, rf"[^{WORD}]+", " "))
+def _unifier(level: str, pattern: str, part: str):
+    """Replace the spellings of a level; only texts that contain ``part`` are searched."""
+    return lambda t: F.when(t.contains(part), F.regexp_replace(t, pattern, level)).otherwise(t)
 
 
 def normalize_keys(*texts: Column) -> Column:
-    """Array of key texts, one per input; NULL counts as ''.  One Python call for all of them."""
+    """Array of key texts, one per input; NULL counts as ''.
+
+    Lower-case words with one space between them and one spelling per level.  All inputs share
+    one Python call, and one ``transform`` per step, so that no step is evaluated twice.
+    """
     filled = F.array(*[F.coalesce(t, F.lit("")) for t in texts])
-    return F.transform(fold_accents(filled), _words)
+    words = F.transform(fold_accents(filled), F.lower)
+    for level, pattern, part in _LEVELS:
+        words = F.transform(words, _unifier(level, rf"(?<![{WORD}])(?:{pattern})", part))
+    return F.transform(words, lambda t: F.trim(F.regexp_replace(t, rf"[^{WORD}]+", " ")))
 
 
 def normalize_key(text: Column) -> Column:

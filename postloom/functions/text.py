@@ -21,8 +21,34 @@ NOT_BEFORE = rf"(?<![{WORD}+#.])"
 NOT_AFTER = rf"(?![{WORD}+#.])"
 
 
+def _literal(value) -> str:
+    """A Python value as Spark SQL text."""
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {_literal(x)}" for k, x in value.items()) + ")"
+    if isinstance(value, list):
+        return "array(" + ", ".join(_literal(x) for x in value) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def lit_rows(rows: list[dict]) -> Column:
+    """A small table (dictionary entries, rules) as one constant array of structs."""
+    return F.expr(_literal(rows))
+
+
 def lit_array(values) -> Column:
-    return F.array(*[F.lit(x) for x in values]) if values else F.array().cast("array<string>")
+    return F.expr(_literal(list(values)) if values else "cast(array() as array<string>)")
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it.
+
+    Written out, an expression over a long text would be evaluated once per mention: mentions
+    inside conditions and lambdas are not shared by the optimizer.  As the variable of a
+    one-element ``transform`` it is computed first and then only referred to.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def strip(text: Column) -> Column:
@@ -76,7 +102,7 @@ def has_word(text: Column, words) -> Column:
     """Any of ``words`` between word boundaries, in text that is lower-cased already.
 
     Plain substring tests go first: they are many times cheaper than the pattern and settle most
-    texts.
+    texts.  ``text`` is mentioned often, so long texts should come :func:`bound`.
     """
     either = "|".join(re.escape(w) for w in words)
     maybe = F.lit(False)
@@ -108,30 +134,27 @@ def _reports(spelling: str, spellings: list[str]) -> list[str]:
     return [s for s in spellings if whole.match(s)]
 
 
+def signs_of(wanted, spellings: list[str]) -> list[str]:
+    """Reported spellings that show any of the ``wanted`` ones."""
+    return sorted({r for w in wanted for r in _reports(squeeze(w), spellings)})
+
+
 def found_in(found: Column, wanted, spellings: list[str]) -> Column:
     """Does ``found`` (of :func:`spellings_in`) show any of the ``wanted`` spellings?"""
-    signs = sorted({r for w in wanted for r in _reports(squeeze(w), spellings)})
-    return F.arrays_overlap(found, lit_array(signs))
+    return F.arrays_overlap(found, lit_array(signs_of(wanted, spellings)))
 
 
 def techs_in(found: Column, terms: TermDictionary, spellings: list[str]) -> Column:
     """Display names of the dictionary entries shown by ``found``, ordered by canonical name."""
-    first_of_display: dict[str, str] = {}
+    entries: dict[str, dict] = {}
     for entry in sorted(terms.entries):
-        first_of_display.setdefault(terms.name(entry).lower(), entry)
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(found_in(found, terms.entries[e], spellings), F.lit(terms.name(e)))
-                for e in first_of_display.values()
-            ]
+        name = terms.name(entry)
+        entries.setdefault(
+            name.lower(), {"name": name, "signs": signs_of(terms.entries[entry], spellings)}
         )
-    )
-
-
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    table = lit_rows(list(entries.values()))
+    shown = F.filter(table, lambda e: F.arrays_overlap(found, e["signs"]))
+    return F.when(F.size(found) == 0, lit_array([])).otherwise(F.transform(shown, lambda e: e["name"]))
 
 
 def detect_stack(text: Column, terms: TermDictionary) -> Column:

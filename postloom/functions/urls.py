@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postloom import vocabulary as v
-from postloom.functions.text import lit_array, strip
+from postloom.functions.text import bound, lit_array, strip, title_case
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _NETLOC = r"^//([^/?#]*)"
@@ -17,11 +17,10 @@ def _clean(url: Column) -> Column:
 
 
 def split_url(url: Column) -> tuple[Column, Column, Column, Column]:
-    """(scheme, host part, path, query); the fragment is left out."""
-    text = _clean(url)
-    rest = F.regexp_replace(text, _SCHEME, "")
+    """(scheme, host part, path, query) of a clean URL; the fragment is left out."""
+    rest = F.regexp_replace(url, _SCHEME, "")
     return (
-        F.lower(F.regexp_extract(text, _SCHEME, 1)),
+        F.lower(F.regexp_extract(url, _SCHEME, 1)),
         F.regexp_extract(rest, _NETLOC, 1),
         F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1),
         F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1),
@@ -54,25 +53,38 @@ def _clean_query(query: Column) -> Column:
     )
 
 
+def _parts(url: Column) -> Column:
+    scheme, netloc, path, query = split_url(url)
+    return F.struct(
+        scheme.alias("scheme"),
+        F.lower(netloc).alias("host"),
+        F.regexp_replace(path, ";[^/]*$", "").alias("path"),
+        query.alias("query"),
+    )
+
+
 def canonicalize_url(url: Column) -> Column:
     """One spelling per page: lower-case scheme and host, no trailing slash, no ";parameters", no
     fragment, no tracking keys."""
-    scheme, netloc, raw_path, raw_query = split_url(url)
-    path = F.regexp_replace(raw_path, ";[^/]*$", "")
-    short = F.regexp_replace(path, "/+$", "")
-    path = F.when(short == "", path).otherwise(short)
-    query = F.when(raw_query.contains("="), _clean_query(raw_query)).otherwise("")
-    return F.concat(
-        F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))),
-        F.when(netloc == "", "").otherwise(F.concat(F.lit("//"), F.lower(netloc))),
-        F.when((netloc != "") & (path != "") & ~path.startswith("/"), "/").otherwise(""),
-        path,
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
-    )
+
+    def build(p: Column) -> Column:
+        short = F.regexp_replace(p["path"], "/+$", "")
+        path = F.coalesce(F.nullif(short, F.lit("")), p["path"])
+        query = F.when(p["query"].contains("="), _clean_query(p["query"])).otherwise("")
+        rootless = (p["host"] != "") & (p["path"] != "") & ~p["path"].startswith("/")
+        return F.concat(
+            F.when(p["scheme"] == "", "").otherwise(F.concat(p["scheme"], F.lit(":"))),
+            F.when(p["host"] == "", "").otherwise(F.concat(F.lit("//"), p["host"])),
+            F.when(rootless, "/").otherwise(""),
+            path,
+            bound(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))),
+        )
+
+    return bound(bound(_clean(url), _parts), build)
 
 
 def is_absolute_http(url: Column) -> Column:
-    scheme, netloc, _, _ = split_url(url)
+    scheme, netloc, _, _ = split_url(_clean(url))
     return scheme.isin("http", "https") & (netloc != "")
 
 
@@ -94,20 +106,26 @@ def resolve_url(href: Column, base: Column) -> Column:
     scheme, netloc, path, query = split_url(base)
     origin = F.concat(scheme, F.lit("://"), netloc)
     folder = F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/"))
-    link = _clean(href)
-    target = F.when(link.startswith("/"), link).otherwise(F.concat(folder, link))
-    tail = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
-    bare = F.regexp_extract(target, r"^([^?#]*)", 1)
-    bare = F.when(bare.rlike(r"/\.\.?(/|$)"), _without_dot_segments(bare)).otherwise(bare)
     with_query = F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
-    return (
-        F.when(link == "", base)
-        .when(link.rlike(_SCHEME), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("#"), F.concat(origin, path, with_query, link))
-        .when(link.startswith("?"), F.concat(origin, path, link))
-        .otherwise(F.concat(origin, bare, tail))
-    )
+
+    def joined(target: Column) -> Column:
+        tail = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+        bare = F.regexp_extract(target, r"^([^?#]*)", 1)
+        dotted = bare.rlike(r"/\.\.?(/|$)")
+        return F.concat(origin, F.when(dotted, _without_dot_segments(bare)).otherwise(bare), tail)
+
+    def resolved(link: Column) -> Column:
+        return (
+            F.when(link == "", base)
+            .when(link.rlike(_SCHEME), link)
+            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+            .when(link.startswith("#"), F.concat(origin, path, with_query, link))
+            .when(link.startswith("?"), F.concat(origin, path, link))
+            .when(link.startswith("/"), joined(link))
+            .otherwise(bound(F.concat(folder, link), joined))
+        )
+
+    return bound(_clean(href), resolved)
 
 
 def last_segment(url: Column) -> Column:
@@ -120,15 +138,13 @@ def view_id(url: Column) -> Column:
 
 
 def title_from_url(url: Column) -> Column:
-    from postloom.functions.text import title_case
-
     slug = F.regexp_replace(last_segment(url), "^[0-9]+-", "")
     return title_case(F.replace(slug, F.lit("-"), F.lit(" ")))
 
 
 def redact_url(url: Column) -> Column:
     """Hide the password of a URL that carries a login; other URLs stay as they are."""
-    scheme, netloc, _, _ = split_url(url)
+    scheme, netloc, _, _ = split_url(_clean(url))
     login = F.regexp_extract(netloc, "^(.*)@", 1)
     user = F.regexp_extract(login, "^([^:]*)", 1)
     host = F.lower(F.regexp_extract(netloc, "([^@]*)$", 1))

@@ -9,10 +9,13 @@ from postloom import vocabulary as v
 from postloom.functions.features import parse_contract_type, parse_location, parse_salary
 from postloom.functions.keys import with_keys
 from postloom.functions.text import (
+    bound,
     distinct_ignoring_case,
     found_in,
     lit_array,
+    lit_rows,
     normalize_text,
+    signs_of,
     spellings_in,
 )
 from postloom.profile import MatchProfile, TermDictionary, canonical_term, squeeze
@@ -57,6 +60,39 @@ class _Wishes:
     def weight(self, tech: str) -> float:
         return v.MUST_HAVE_FACTOR if tech in self.must else 1.0
 
+    def table(self, fields) -> Column:
+        """Wished technologies as a constant: name, signs, weight per field, best possible sum."""
+        best = sum(weight for _, weight in fields)
+        return lit_rows(
+            [
+                {
+                    "name": self.dictionary.name(t),
+                    "signs": signs_of(self.dictionary.entries[t], self.spellings),
+                    **{name: weight * self.weight(t) for name, weight in fields},
+                    "best": best * self.weight(t),
+                }
+                for t in self.techs
+            ]
+        )
+
+    def bad_words(self, found: Column) -> Column:
+        """Negative keywords shown by ``found``, in their order."""
+        if not self.keywords:
+            return lit_array([])
+        table = lit_rows([{"word": k, "signs": signs_of([k], self.context)} for k in self.keywords])
+        shown = bound(found, lambda f: F.filter(table, lambda k: F.arrays_overlap(f, k["signs"])))
+        return F.transform(shown, lambda k: k["word"])
+
+    def picked(self, scores: Column, techs, hit: bool) -> Column:
+        """Names of those ``techs`` that did (or did not) score, in their order."""
+        if not techs:
+            return lit_array([])
+        places = lit_rows([{"at": self.techs.index(t), "name": self.dictionary.name(t)} for t in techs])
+        chosen = bound(
+            scores, lambda s: F.filter(places, lambda p: (F.get(s, p["at"]) > 0) == F.lit(hit))
+        )
+        return F.transform(chosen, lambda p: p["name"])
+
 
 def _texts(df: DataFrame) -> DataFrame:
     flat = {
@@ -81,16 +117,19 @@ def _with_tech_scores(texts: DataFrame, w: _Wishes, out: str) -> DataFrame:
     )
     if not w.techs:
         return texts.withColumn(out, F.array().cast("array<double>"))
-    found = {f"{n}_found": spellings_in(F.col(n), w.spellings) for n, _ in fields}
-    per_tech = []
-    for tech in w.techs:
-        total = F.lit(0.0)
-        for name, weight in fields:
-            hit = found_in(F.col(f"{name}_found"), w.dictionary.entries[tech], w.spellings)
-            total = total + F.when(hit, weight * w.weight(tech)).otherwise(0.0)
-        cap = sum(weight for _, weight in fields) * w.weight(tech)
-        per_tech.append(F.least(total, F.lit(cap)))
-    return texts.withColumns(found).withColumn(out, F.array(*per_tech))
+    found = F.struct(*[spellings_in(F.col(n), w.spellings).alias(n) for n, _ in fields])
+
+    def scores(found: Column) -> Column:
+        def score(tech: Column) -> Column:
+            hits = [
+                F.when(F.arrays_overlap(found[n], tech["signs"]), tech[n]).otherwise(0.0)
+                for n, _ in fields
+            ]
+            return F.least(sum(hits, F.lit(0.0)), tech["best"])
+
+        return F.transform(w.table(fields), score)
+
+    return texts.withColumn(out, bound(found, scores))
 
 
 def base_score(scores: Column, profile: MatchProfile) -> Column:
@@ -116,20 +155,10 @@ def _judged(df: DataFrame, profile: MatchProfile, w: _Wishes) -> DataFrame:
     scores = F.col("__scores")
     combined, found = F.col("__combined"), F.col("__context")
 
-    def picked(techs, hit: bool) -> Column:
-        places = [(w.techs.index(t), w.dictionary.name(t)) for t in techs]
-        tests = [F.when(scores[i] > 0 if hit else scores[i] <= 0, n) for i, n in places]
-        return F.array_compact(F.array(*tests)) if tests else lit_array([])
-
-    def mentions(term: str) -> Column:
-        return found_in(found, [term], w.context)
-
     def paid(name: str) -> Column:
         return F.coalesce(F.col(name) != 0, F.lit(False))
 
-    near = F.lit(False)
-    for place in w.places:
-        near = near | mentions(place)
+    near = found_in(found, w.places, w.context) if w.places else F.lit(False)
     remote_type = F.lower(normalize_text(F.col("remote_type")))
     everything = F.concat_ws(" ", "__title", "__stack", "__description", "__location")
     return (
@@ -142,19 +171,15 @@ def _judged(df: DataFrame, profile: MatchProfile, w: _Wishes) -> DataFrame:
                 "__paid": paid("salary_min") | paid("salary_max"),
                 "__factor": seniority_factor(F.col("seniority"), profile.seniority),
                 "__base": base_score(scores, profile),
-                "__matched": picked(w.techs, True),
-                "__missing": picked(w.techs, False),
-                "__missing_must": picked(w.must, False),
+                "__matched": w.picked(scores, w.techs, True),
+                "__missing": w.picked(scores, w.techs, False),
+                "__missing_must": w.picked(scores, w.must, False),
             }
         )
         .withColumns(
             {
                 "__near": near,
-                "__bad_words": F.array_compact(
-                    F.array(*[F.when(mentions(k), F.lit(k)) for k in w.keywords])
-                    if w.keywords
-                    else lit_array([])
-                ),
+                "__bad_words": w.bad_words(found),
             }
         )
         .withColumns({"__bonus": _bonus(), "__penalty": _penalty(profile)})
