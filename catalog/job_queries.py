@@ -706,6 +706,40 @@ def incremental_ingest(spark, sf):
     return incremental.current(spark, f"{folder}/store").select("link", "title", dbl("score"), "seen_count")
 
 
+_DAILY = {
+    **ISSUE,
+    "landed": f"""SELECT row_number() OVER (ORDER BY seq DESC) AS seq, * EXCLUDE (seq) FROM (SELECT seq, 'issues' AS source, {duck.norm('title')} AS title,
+          CASE WHEN regexp_matches(title, {_IN_TITLE}) THEN {duck.strip(f'regexp_extract(title, {_IN_TITLE}, 1)')}
+               ELSE nullif({duck.norm("regexp_extract(body, 'Empresa: (.+)', 1)")}, '') END AS company,
+          CASE WHEN contains(title, '[') THEN regexp_extract(title, '\\[([^\\]]+)\\]', 1)
+               WHEN seq % 2 = 0 THEN trim(regexp_extract(body, 'Local: (.+)', 1)) END AS location,
+          nullif({duck.norm('body')}, '') AS description, {duck.canonical_url('html_url')} AS link, published_at,
+          {duck.text_of('title', 'body', 'label')} AS t FROM issue WHERE NOT is_pr)""",
+    "daily_postings": f"SELECT * EXCLUDE (t), {duck.detect_stack('t')} AS stack, {duck.seniority('t')} AS seniority, {duck.SALARY_NULLS} FROM landed",
+    "daily_parts": duck.CTES["key_parts"][1].replace("FROM postings", "FROM daily_postings"),
+    "daily_keyed": duck.CTES["keyed"][1].replace("FROM key_parts", "FROM daily_parts"),
+    "daily_kept": duck.CTES["kept"][1].replace("FROM keyed", "FROM daily_keyed"),
+    "daily_scored": f"SELECT * FROM {duck.scored('(SELECT * FROM daily_keyed WHERE seq IN (SELECT seq FROM daily_kept))')}",
+}
+
+
+@query(
+    "daily_run",
+    duck.sql("SELECT link, title, company, fingerprint, score, CAST(1 AS BIGINT) AS seen_count FROM daily_scored", "bridge", extra=_DAILY),
+)
+def daily_run(spark, sf):
+    """The whole run over landed issue files: read, validate, deduplicate, score, store."""
+    from postloom.plans.daily_run import RunSettings, run
+
+    folder = new_folder(spark, "landed")
+    issue_lines(spark, sf).select("value").write.text(folder)
+    newest_first = (F.desc("published_at"), F.asc("link"), F.asc("external_id"))
+    result = run(spark, RunSettings(paths={"issues": folder}, now=NOW, order=newest_first), None)
+    return result.snapshot.select(
+        "link", "title", "company", "fingerprint", dbl("score"), F.col("seen_count").cast("bigint").alias("seen_count")
+    )
+
+
 # --- serve --------------------------------------------------------------------------------------------
 
 
@@ -768,8 +802,9 @@ def run_summary(spark, sf):
         F.lit(None).cast("string").alias("error"),
     )
     failed = spark.createDataFrame([(2, "c", False, 0, "blocked")], "source_rank int, source string, ok boolean, found bigint, error string")
-    counts = state.upsert_counts(old_store(spark, sf), batch(spark, sf))
-    one = summary(counts, state.run_status(lines.unionByName(failed)))
+    counts = state.upsert_counts(old_store(spark, sf), batch(spark, sf)).withColumn("id", F.lit(1))
+    status = state.run_status(lines.unionByName(failed).withColumn("id", F.lit(1)), "id")
+    one = summary(status, counts)
     return one.select("sources_scraped", "jobs_found", "affected", "inserted", "status", "error_message")
 
 

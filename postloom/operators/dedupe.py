@@ -86,10 +86,17 @@ def kept_sequence(
 
 
 def dedupe_batch(postings: DataFrame, **tail) -> DataFrame:
-    """Postings without duplicates, with both keys added; ``seq`` gives the order of arrival."""
-    keyed = postings if set(KEYS) <= set(postings.columns) else with_keys(postings)
-    narrow = keyed.select("seq", *KEYS)
-    return keyed.join(kept_sequence(narrow, **tail), "seq", "left_semi")
+    """Postings without duplicates, with both keys added; ``seq`` gives the order of arrival.
+
+    The keys are computed once, into a narrow table; the texts themselves move once, when the
+    kept rows are picked by their unique ``seq``.
+    """
+    if not set(KEYS) <= set(postings.columns):
+        keys = materialize(with_keys(postings).select("seq", *KEYS), "dedupe-keys")
+        kept = keys.drop("link").join(kept_sequence(keys, **tail), "seq", "left_semi")
+        return postings.join(kept, "seq")
+    kept = kept_sequence(postings.select("seq", *KEYS), **tail)
+    return postings.join(kept, "seq", "left_semi")
 
 
 # --- looking keys up in the store ------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,14 @@ def recent_jobs(store: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def top_jobs(store: DataFrame, limit: int = 10, min_score: float = 0.0) -> DataFrame:
-    """Best scores first, then the most recently seen; the link breaks the remaining ties."""
+    """Best scores first, then the most recently seen; the link breaks the remaining ties.
+
+    The bound is rounded up to the two decimals of the score, so that it is compared without a
+    cast and reaches the scan.
+    """
+    bound = Decimal(str(min_score)).quantize(Decimal("0.01"), ROUND_CEILING)
     return (
-        store.filter(F.col("score") >= F.lit(min_score))
+        store.filter(F.col("score") >= F.lit(bound).cast("decimal(5,2)"))
         .orderBy(F.desc("score"), F.desc_nulls_first("last_seen_at"), "link")
         .limit(_within(limit, 1, 50))
     )

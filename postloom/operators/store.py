@@ -38,46 +38,40 @@ def upsert_postings(
     """Next snapshot: insert by link, or replace the business columns and count the sighting.
 
     Both sides hold every link once.  A matched row keeps id, link and created_at.  New rows take
-    the id the batch brings.  By default one full outer join on link.  A batch known to be small
-    (``small_batch``, to be set by a size check) is broadcast instead: the snapshot is updated
-    where it lies and the links it does not know are appended, so no stored row is shuffled.
+    the id the batch brings.  By default one full outer join on link.  For a batch known to be
+    small (``small_batch``, to be set by a count) only its links are broadcast: stored rows with
+    other links pass through where they lie, and just the touched rows are joined.
     """
-    columns = list(dict.fromkeys(["id", "link", *BUSINESS_COLUMNS, *STATE]))
-    columns = [c for c in columns if c in snapshot.columns]
-    business = [c for c in columns if c in BUSINESS_COLUMNS and c in batch.columns]
-    incoming = payload_defaults(batch, now).withColumn("hit", F.lit(True))
-    new_values = F.struct(*[F.col(c) for c in incoming.columns if c != "link"]).alias("new")
-    incoming = incoming.select("link", new_values)
-
-    stored = F.col("created_at").isNotNull()
-    hit = F.coalesce(F.col("new.hit"), F.lit(False))
-
-    def merged(inserted: Column, matched: Column) -> dict[str, Column]:
-        taken = inserted | matched
-        update = {c: F.when(taken, F.col(f"new.{c}")).otherwise(F.col(c)) for c in business}
-        update["id"] = F.when(inserted, F.col("new.id")).otherwise(F.col("id"))
-        update["seen_count"] = (
-            F.when(inserted, F.col("new.seen_count"))
-            .when(matched, F.col("seen_count") + 1)
-            .otherwise(F.col("seen_count"))
-        )
-        for c in ("last_seen_at", "updated_at"):
-            update[c] = (
-                F.when(inserted, F.col(f"new.{c}")).when(matched, _at(now)).otherwise(F.col(c))
-            )
-        update["created_at"] = F.when(inserted, _at(now)).otherwise(F.col("created_at"))
-        return update
-
     if not small_batch:
-        both = snapshot.join(incoming, "link", "full_outer")
-        return both.withColumns(merged(~stored, stored & hit)).select(*columns)
-    updated = snapshot.join(F.broadcast(incoming), "link", "left")
-    updated = updated.withColumns(merged(F.lit(False), hit)).select(*columns)
-    known = snapshot.select("link").join(F.broadcast(batch.select("link")), "link", "left_semi")
-    blank = [F.lit(None).cast(snapshot.schema[c].dataType).alias(c) for c in columns if c != "link"]
-    added = incoming.join(known, "link", "left_anti").select("link", "new", *blank)
-    added = added.withColumns(merged(F.lit(True), F.lit(True))).select(*columns)
-    return updated.unionByName(added)
+        return _merge(snapshot, batch, now)
+    links = F.broadcast(batch.select("link"))
+    untouched = snapshot.join(links, "link", "left_anti")
+    touched = snapshot.join(links, "link", "left_semi")
+    merged = _merge(touched, batch, now)
+    return untouched.select(*merged.columns).unionByName(merged)
+
+
+def _merge(snapshot: DataFrame, batch: DataFrame, now) -> DataFrame:
+    columns = [c for c in ("id", "link", *BUSINESS_COLUMNS, *STATE) if c in snapshot.columns]
+    incoming = payload_defaults(batch, now)
+    values = F.struct(*[c for c in incoming.columns if c != "link"]).alias("new")
+    both = snapshot.join(incoming.select("link", values), "link", "full_outer")
+    stored, arrived = F.col("created_at").isNotNull(), F.col("new").isNotNull()
+    again = stored & arrived
+
+    update = {
+        c: F.when(arrived, F.col(f"new.{c}")).otherwise(F.col(c))
+        for c in columns
+        if c in BUSINESS_COLUMNS and c in incoming.columns
+    }
+    update["id"] = F.coalesce("id", "new.id")
+    update["created_at"] = F.coalesce("created_at", _at(now))
+    update["seen_count"] = (
+        F.when(again, F.col("seen_count") + 1).otherwise(F.coalesce("seen_count", "new.seen_count"))
+    )
+    for c in ("last_seen_at", "updated_at"):
+        update[c] = F.when(again, _at(now)).otherwise(F.coalesce(c, f"new.{c}"))
+    return both.withColumns(update).select(*columns)
 
 
 def upsert_counts(snapshot: DataFrame, batch: DataFrame) -> DataFrame:

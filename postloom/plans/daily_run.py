@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.dedupe import SMALL_BATCH_ROWS, dedupe_batch
@@ -28,8 +28,10 @@ from postloom.sources.registry import union_sources
 class RunSettings:
     paths: dict[str, str]
     now: dt.datetime
+    run_id: int = 1
     sources: tuple[str, ...] | None = None
     profile: MatchProfile = field(default_factory=MatchProfile)
+    order: tuple[Column, ...] = ()  # arrival order within a source; default: order of the files
     max_per_source: int | None = None  # the reader's own cap, 1 to 100; None reads everything
     send_empty_report: bool = False
 
@@ -53,9 +55,20 @@ def empty_snapshot(payloads: DataFrame, now) -> DataFrame:
     return shaped.withColumn("created_at", F.col("updated_at")).drop("seq").limit(0)
 
 
-def run_summary(counts: DataFrame, status: DataFrame) -> DataFrame:
-    """One row: sources, found, new (inserted plus updated), status and errors."""
-    return status.crossJoin(counts)  # one row each
+def run_summary(status: DataFrame, counts: DataFrame, run: str = "id") -> DataFrame:
+    """One row per run: sources, found, new (inserted plus updated), status and errors."""
+    return status.join(counts, run)
+
+
+def numbered(postings: DataFrame, *order: Column) -> DataFrame:
+    """Give every posting its ``seq``: sources in turn, then by ``order``.
+
+    A distributed range sort puts the rows in order over the partitions, and the generated id
+    grows with partition and row.  Without ``order`` the rows are numbered as they are read.
+    """
+    if order:
+        postings = postings.orderBy("source_rank", *order)
+    return postings.withColumn("seq", F.monotonically_increasing_id())
 
 
 def run(
@@ -67,25 +80,29 @@ def run(
     the same however often a later stage is recomputed.  A dry run ends before the store.
     """
     found = union_sources(spark, settings.paths, settings.sources)
-    landed = found.postings.withColumn("seq", F.monotonically_increasing_id())
-    landed = materialize(landed, "ingested")
+    landed = materialize(numbered(found.postings, *settings.order), "ingested")
     if settings.max_per_source:
         landed = cap_per_source(landed, settings.max_per_source)
     valid, rejects = split_valid(landed)
     payloads = materialize(process(valid, settings.profile), "payloads")
-    status = run_status(found.per_source)
+    status = run_status(found.per_source.withColumn("id", F.lit(settings.run_id)), "id")
 
     if dry_run:
         counts = payloads.agg(F.count(F.lit(1)).alias("affected")).withColumns(
-            {"inserted": F.col("affected"), "updated": F.lit(0).cast("bigint")}
+            {
+                "inserted": F.col("affected"),
+                "updated": F.lit(0).cast("bigint"),
+                "id": F.lit(settings.run_id),
+            }
         )
         top = top_payloads(payloads, min_score=settings.profile.min_score)
-        summary = run_summary(counts, status).withColumn("status", F.lit("dry_run"))
+        summary = run_summary(status, counts).withColumn("status", F.lit("dry_run"))
         return RunResult(summary, top, rejects)
 
     if snapshot is None:
         snapshot = empty_snapshot(payloads, settings.now)
-    counts = materialize(upsert_counts(snapshot, payloads), "counts")
+    counts = upsert_counts(snapshot, payloads).withColumn("id", F.lit(settings.run_id))
+    counts = materialize(counts, "counts")
     batch = payloads.withColumn("id", F.col("seq") + _next_id(snapshot)).drop("seq")
     small = at_most(batch, SMALL_BATCH_ROWS)
     updated = materialize(upsert_postings(snapshot, batch, settings.now, small), "snapshot")
@@ -94,7 +111,7 @@ def run(
     report = daily_report(top, total, settings.now.date()).withColumn(
         "notification_status", report_gate(F.col("jobs"), settings.send_empty_report)
     )
-    return RunResult(run_summary(counts, status), top, rejects, updated, report)
+    return RunResult(run_summary(status, counts), top, rejects, updated, report)
 
 
 def _next_id(snapshot: DataFrame) -> int:

@@ -3,7 +3,7 @@
 Every micro-batch is deduplicated, scored and appended as sightings to its own folder
 ``batch=<id>``.  A retried batch overwrites exactly this folder, so it is applied once.  The
 current table is the fold of all sightings; nothing stored earlier is rewritten, which is what
-makes small batches cheap on a large store.  ``compact`` folds the past into fewer rows.
+makes small batches cheap on a large store.
 """
 
 from __future__ import annotations
