@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalog.bridge import raw_postings, table
 from postloom.functions.keys import with_keys
 from postloom.operators.postings import build_postings
 from postloom.operators.scoring import build_payloads
 from postloom.operators.store import snapshot_of
-from postloom.session import materialize
+from postloom.session import new_folder
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -45,10 +45,24 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_payloads(postings(spark, sf_dir))
 
 
-@functools.lru_cache(maxsize=None)
+_tables: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
 def _written(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table, written once per application and folder and read from then on."""
     make = {"payloads": payloads, "store": _store, "old_store": _old_store, "keyed": _keyed}[name]
-    return materialize(make(spark, sf_dir), name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _tables:
+        path, schema = _tables[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:  # the shared folder was cleaned up
+            del _tables[key]
+    path = new_folder(spark, name)
+    table = make(spark, sf_dir)
+    table.write.parquet(path)
+    _tables[key] = (path, table.schema)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,7 +292,7 @@ _UNION = """(SELECT 0 AS source_rank, 'derived_issues' AS source, true AS ok, (S
 
 @query("union_sources", duck.sql(f"SELECT CAST(source_rank AS BIGINT) AS source_rank, source, ok, found, error FROM {_UNION}", "bridge", extra=ISSUE))
 def union_sources(spark, sf):
-    stats = registry.union_sources(spark, _register(sf)).per_source
+    stats = registry.union_sources(spark, _register(sf)).per_source()
     return stats.select(F.col("source_rank").cast("bigint").alias("source_rank"), "source", "ok", "found", "error")
 
 

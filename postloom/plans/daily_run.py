@@ -83,9 +83,10 @@ def run(
     landed = materialize(numbered(found.postings, *settings.order), "ingested")
     if settings.max_per_source:
         landed = cap_per_source(landed, settings.max_per_source)
+    per_source = found.per_source(landed).withColumn("id", F.lit(settings.run_id))
+    status = run_status(per_source, "id")
     valid, rejects = split_valid(landed)
     payloads = materialize(process(valid, settings.profile), "payloads")
-    status = run_status(found.per_source.withColumn("id", F.lit(settings.run_id)), "id")
 
     if dry_run:
         counts = payloads.agg(F.count(F.lit(1)).alias("affected")).withColumns(

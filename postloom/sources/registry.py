@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -30,40 +31,49 @@ def select_sources(names: Iterable[str]) -> list[str]:
 
 @dataclass
 class Union:
+    """Postings of all sources that could be read, and the names and problems of all of them."""
+
     postings: DataFrame
-    per_source: DataFrame  # (source_rank, source, ok, found, error)
+    names: list[str]
+    problems: dict[str, str]
+
+    def per_source(self, postings: DataFrame | None = None) -> DataFrame:
+        """One row per configured source: (source_rank, source, ok, found, error).
+
+        The row counts come from one aggregate.  Give the written form of ``postings`` where
+        there is one, so that the sources are not read again for their counts.
+        """
+        lines = [
+            (i, n, n not in self.problems, self.problems.get(n)) for i, n in enumerate(self.names)
+        ]
+        rows = self.postings if postings is None else postings
+        counts = rows.groupBy("source_rank").agg(F.count(F.lit(1)).alias("found"))
+        listed = rows.sparkSession.createDataFrame(
+            lines, "source_rank int, source string, ok boolean, error string"
+        )
+        return listed.join(counts, "source_rank", "left").select(
+            "source_rank", "source", "ok", F.coalesce("found", F.lit(0)).alias("found"), "error"
+        )
 
 
 def union_sources(
     spark: SparkSession, paths: dict[str, str], names: Iterable[str] | None = None
 ) -> Union:
-    """All postings of the selected sources and one line per source.
+    """All postings of the selected sources, each with its ``source_rank``.
 
-    A source that cannot be read (missing path, wrong columns) gives an error line and does not
-    stop the others; broken records inside a source are dealt with row by row by its reader.
+    A source that cannot be read (missing path, wrong columns) is noted and does not stop the
+    others; broken records inside a source are dealt with row by row by its reader.
     """
     frames: list[DataFrame] = []
-    failed: list[tuple[int, str, str]] = []
+    problems: dict[str, str] = {}
     names = select_sources(paths if names is None else names)
     for rank, name in enumerate(names):
         try:
             frame = as_postings(READERS[name](spark, paths[name]))
             frames.append(frame.withColumn("source_rank", F.lit(rank)))
         except Exception as problem:  # noqa: BLE001 - any reader may fail in its own way
-            failed.append((rank, name, str(problem).splitlines()[0]))
-    empty = spark.createDataFrame([], POSTING_DDL).withColumn("source_rank", F.lit(0))
-    postings = frames[0] if frames else empty
-    for frame in frames[1:]:
-        postings = postings.unionByName(frame, allowMissingColumns=True)
-    return Union(postings, source_stats(spark, postings, names, failed))
-
-
-def source_stats(spark, postings: DataFrame, names: list[str], failed) -> DataFrame:
-    """One row per configured source with its outcome; the row counts come from one aggregate."""
-    problems = {name: text for _, name, text in failed}
-    lines = [(i, n, n not in problems, problems.get(n)) for i, n in enumerate(names)]
-    listed = spark.createDataFrame(lines, "source_rank int, source string, ok boolean, error string")
-    counts = postings.groupBy("source_rank").agg(F.count(F.lit(1)).alias("found"))
-    return listed.join(counts, "source_rank", "left").select(
-        "source_rank", "source", "ok", F.coalesce("found", F.lit(0)).alias("found"), "error"
-    )
+            problems[name] = str(problem).splitlines()[0]
+    if not frames:
+        empty = spark.createDataFrame([], POSTING_DDL).withColumn("source_rank", F.lit(0))
+        return Union(empty, names, problems)
+    return Union(functools.reduce(DataFrame.unionByName, frames), names, problems)

@@ -353,10 +353,10 @@ def test_one_failing_source_does_not_stop_the_others(spark):
     assert registry.select_sources(["GOOD ", "nope", "bad"]) == ["good", "bad"]
     union = registry.union_sources(spark, {"good": "", "bad": ""})
     assert union.postings.count() == 1
-    stats = rows(state.run_status(union.per_source), "sources_scraped", "jobs_found", "errors", "status")
+    stats = rows(state.run_status(union.per_source()), "sources_scraped", "jobs_found", "errors", "status")
     assert stats == [(1, 1, ["bad: blocked"], "success")]
     alone = registry.union_sources(spark, {"bad": ""})
-    assert rows(state.run_status(alone.per_source), "sources_scraped", "errors", "status") == [(0, ["bad: blocked"], "failed")]
+    assert rows(state.run_status(alone.per_source()), "sources_scraped", "errors", "status") == [(0, ["bad: blocked"], "failed")]
     assert rows(serve.per_source_counts(union.postings), "source", "jobs") == [("good", 1)]
 
 
