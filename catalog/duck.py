@@ -168,10 +168,10 @@ def resolved(href: str, base: str) -> str:
 def unescape(x: str) -> str:
     for entity, char in (
         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&copy;", "©"),
-        ("&middot;", "·"), ("&amp;", "&"),
+        ("&middot;", "·"),
     ):
         x = f"replace({x}, {q(entity)}, {q(char)})"
-    return x
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"  # this one needs no semicolon
 
 
 MARKUP = (

@@ -109,10 +109,20 @@ def drop_pull_requests(spark, sf):
 
 @query(
     "state_and_since_filter",
-    duck.sql("SELECT seq, id FROM issue WHERE state = 'open' AND touched >= TIMESTAMP '2026-01-16 00:00:00'", "bridge", extra=ISSUE),
+    duck.sql(
+        """SELECT 'issue' AS kind, seq FROM issue WHERE state = 'open' AND touched >= TIMESTAMP '2026-01-16 00:00:00'
+            UNION ALL SELECT 'card', seq FROM bridge WHERE published_at >= TIMESTAMP '2026-01-01 08:00:00'""",
+        "bridge",
+        extra=ISSUE,
+    ),
 )
 def state_and_since_filter(spark, sf):
-    return issues.open_since(issues.parse_issues(issue_lines(spark, sf)), AS_OF, 14).select("seq", "id")
+    """Open issues of the last 14 days and cards of the last day."""
+    open_issues = issues.open_since(issues.parse_issues(issue_lines(spark, sf)), AS_OF, 14)
+    cards = pages.published_within(raw(spark, sf), dt.datetime(2026, 1, 2, 8))
+    return open_issues.select(F.lit("issue").alias("kind"), "seq").unionByName(
+        cards.select(F.lit("card").alias("kind"), "seq")
+    )
 
 
 @query(

@@ -65,6 +65,7 @@ class ElementReader(HTMLParser):
         self.open: list[tuple[str, list[list[str]]]] = []
         self.pieces: list[str] = []
         self.matches: dict[str, list] = {name: [] for name in wanted}
+        self.same_text = False  # the parser may deliver one text in parts
 
     @staticmethod
     def fits(selector: dict, tag: str, attrs: dict[str, str]) -> bool:
@@ -87,6 +88,7 @@ class ElementReader(HTMLParser):
         for name, value in attrs:
             values[name] = value or ""
         targets = []
+        self.same_text = False
         for name, selectors in self.wanted.items():
             hit = next((s for s in selectors if self.fits(s, tag, values)), None)
             if hit is None:
@@ -105,19 +107,25 @@ class ElementReader(HTMLParser):
         if tag not in VOID:
             self.open.pop()
 
+    def handle_comment(self, data):
+        self.same_text = False
+
     def handle_endtag(self, tag):
+        self.same_text = False
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
                 del self.open[depth:]
                 return
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] in CODE:
+        if any(tag in CODE for tag, _ in self.open):
             return
-        self.pieces.append(data)
-        for _, targets in self.open:
-            for target in targets:
-                target.append(data)
+        for texts in (self.pieces, *(t for _, targets in self.open for t in targets)):
+            if self.same_text:
+                texts[-1] += data
+            else:
+                texts.append(data)
+        self.same_text = True
 
 
 def read_elements(page: str | None, firsts: dict, alls: dict) -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom import vocabulary as v
+from postloom.functions.html import unescape
 from postloom.functions.text import html_escape, lit_array
 
 
@@ -92,14 +93,13 @@ def report_gate(jobs: Column, send_empty: bool = False) -> Column:
 
 
 def strip_report_html(text: Column) -> Column:
-    """Plain text of a report: its own tags go, escapes are resolved ("&amp;" last)."""
+    """Plain text of a report: its own tags go and character references are resolved."""
     for old, new in (
         ("<b>", ""), ("</b>", ""), ("<br>", "\n"), ("</a>", ""),
         (f'">{v.REPORT_LINK_TEXT}', f" - {v.REPORT_LINK_TEXT}"), ('<a href="', ""),
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&"),
     ):
         text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+    return unescape(text)
 
 
 # Line ends: after CRLF, LF, CR and the other Unicode line separators; the end stays on its line.

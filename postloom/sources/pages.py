@@ -31,6 +31,12 @@ def split_blocked(pages: DataFrame, html: str = "html") -> tuple[DataFrame, Data
     return pages.filter(~blocked), pages.filter(blocked)
 
 
+def published_within(postings: DataFrame, as_of, seconds: int = 86_400) -> DataFrame:
+    """Postings published in the last ``seconds`` before ``as_of`` (one day for card searches)."""
+    since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds))
+    return postings.filter(F.col("published_at") >= since)
+
+
 def card_postings(cards: DataFrame, source: str = "cards", html: str = "html") -> DataFrame:
     """Postings of listing cards; a card without title or link gives none."""
     e = F.col("__e")

@@ -283,3 +283,14 @@ def test_redact_columns(spark):
         "bot_token string, email_password string, app_secret string, redis_url string, title string, token_day date",
     )
     assert tuple(ops.redact_columns(rows).first()) == ("***REDACTED***", "", None, "redis://u:***@h/0", "plain", "***REDACTED***")
+
+
+def test_elements(spark):
+    page = (
+        "<h1>a<1 &amp; b&eacute;</h1><h2>x<!-- c -->y</h2><template><p>hidden</p></template>"
+        "<li>Python<li>Go</ul><span class='my-tags'>Java</span><p class=tag>Redis</p>"
+    )
+    got = one(spark, html.page_elements(text(page)))
+    assert (got.h1, got.h2) == ("a<1 & bé", "x y") and "hidden" not in got.text
+    assert got.chips == ["Python Go Java Redis", "Go Java Redis", "Java", "Redis"]
+    assert one(spark, html.page_elements(text(None))).text == ""
