@@ -62,6 +62,8 @@ def kept_sequence(
     ``tail_rows`` rows is decided by the sequential rule in one task.  A larger remainder goes
     on in rounds, however many it takes: each one decides at least its first posting.
     """
+    # A missing key counts as a value of its own, as joins would never match it.
+    keyed = keyed.select("seq", *[F.coalesce(k, F.lit("\0")).alias(k) for k in KEYS])
     # Rows equal in all keys share one fate: only the first can be kept.
     undecided = materialize(keyed.groupBy(*KEYS).agg(F.min("seq").alias("seq")), "dedupe-open")
     kept: list[DataFrame] = []
@@ -71,7 +73,7 @@ def kept_sequence(
             ordered = undecided.coalesce(1).sortWithinPartitions("seq")
             kept.append(materialize(ordered.mapInPandas(_first_in_order, "seq long"), "dedupe-kept"))
             break
-        winners = materialize(_firsts_of_all_keys(undecided), "dedupe-kept")
+        winners = materialize(_firsts_of_all_keys(undecided), "dedupe-kept", "kind")
         kept.append(winners.filter("kind = 0").select("seq"))
         rest = undecided
         for kind, key in enumerate(KEYS):
@@ -145,14 +147,15 @@ def filter_new(postings: DataFrame, store: DataFrame) -> DataFrame:
 def find_duplicates(store: DataFrame, postings: DataFrame) -> DataFrame:
     """Stored rows sharing a link, fingerprint or content hash with any posting.
 
-    One equi-join per key against the distinct keys of the postings, which adds a flag to the
-    stored row instead of pairing it with every posting, so a hot key cannot multiply rows.
+    Stored rows are flagged, not paired with every posting, so a hot key cannot multiply rows.
+    The lookups run on the distinct key triples of the store, one equi-join per key against the
+    distinct keys of the postings; the rows themselves move once, to pick up their flags.
     """
-    flagged = store
+    flagged = store.select(*KEYS).distinct()
     for key in KEYS:
-        known = postings.filter(F.length(key) > 0).select(key).distinct().withColumn(f"same_{key}", F.lit(True))
-        flagged = flagged.join(known, key, "left")
-    flags = [F.coalesce(F.col(f"same_{k}"), F.lit(False)) for k in KEYS]
-    return flagged.withColumns({f"same_{k}": f for k, f in zip(KEYS, flags)}).filter(
-        " OR ".join(f"same_{k}" for k in KEYS)
-    )
+        known = postings.filter(F.length(key) > 0).select(key).distinct()
+        flagged = flagged.join(known.withColumn(f"same_{key}", F.lit(True)), key, "left")
+    flags = {f"same_{k}": F.coalesce(f"same_{k}", F.lit(False)) for k in KEYS}
+    hits = flagged.withColumns(flags).filter(" OR ".join(flags)).withColumnsRenamed({k: f"hit_{k}" for k in KEYS})
+    same = [F.col(k).eqNullSafe(F.col(f"hit_{k}")) for k in KEYS]
+    return store.join(hits, same).drop(*[f"hit_{k}" for k in KEYS])

@@ -62,6 +62,11 @@ def test_one_key_held_by_a_third_of_all_rows(spark):
     assert kept(spark, rows) == sequential(rows)
 
 
+def test_missing_keys_count_as_equal(spark):
+    rows = [(i, None, f"f{i}", f"h{i}") for i in range(30)] + [(40, "a", None, "x"), (41, "b", None, "y")]
+    assert kept(spark, rows, tail_after=99) == sequential(rows) == [0, 40]
+
+
 small_rows = st.lists(st.tuples(*[st.integers(0, 3)] * 3), min_size=1, max_size=12)
 
 
