@@ -797,7 +797,7 @@ def recently_seen(spark, sf):
 @query(
     "run_summary",
     duck.sql(
-        """SELECT 3 - 1 AS sources_scraped, (SELECT count(*) FROM payloads) AS jobs_found, (SELECT count(*) FROM batch) AS affected,
+        """SELECT CAST(2 AS BIGINT) AS sources_scraped, (SELECT count(*) FROM payloads) AS jobs_found, (SELECT count(*) FROM batch) AS affected,
             (SELECT count(*) FROM batch WHERE link NOT IN (SELECT link FROM old_store)) AS inserted, 'success' AS status, 'c: blocked' AS error_message""",
         "old_store",
         "batch",
