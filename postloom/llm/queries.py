@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import chat, exact_dedup, mixing
+from postloom.llm import chat, exact_dedup, mixing, near_dedup
 from postloom.llm.shared import documents, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies, on four-word shingles."""
+    return near_dedup.decide(documents(spark, sf_dir), size=4, threshold=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of its text that stays."""
     return exact_dedup.decide(documents(spark, sf_dir))
@@ -71,7 +76,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_chat_format, op4_mix_sources, op9_exact_dedup)
+    f.__name__: f for f in (op3_chat_format, op4_mix_sources, op6_near_dedup, op9_exact_dedup)
 }
 ORACLES: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
