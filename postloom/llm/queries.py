@@ -5,13 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postloom.llm import chat, exact_dedup, mixing, near_dedup
+from postloom.llm import chat, exact_dedup, mixing, near_dedup, quality, sentence_pieces, token_files, topk
 from postloom.llm.shared import documents, materialize, table
+from postloom.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector."""
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+OP2_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
+FROM scored WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted, written and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -61,6 +85,18 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.decide(documents(spark, sf_dir), size=4, threshold=80)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(documents(spark, sf_dir), folder)
+    return token_files.checksums(token_files.read_tokens(spark, folder))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of its text that stays."""
     return exact_dedup.decide(documents(spark, sf_dir))
@@ -75,10 +111,26 @@ SELECT doc_id,
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text in SentencePiece ids, and what these decode to."""
+    return sentence_pieces.summaries(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_chat_format, op4_mix_sources, op6_near_dedup, op9_exact_dedup)
+    f.__name__: f
+    for f in (
+        op2_exact_top_k,
+        op3_chat_format,
+        op4_mix_sources,
+        op6_near_dedup,
+        op7_token_files,
+        op8_quality,
+        op9_exact_dedup,
+        op10_sentence_pieces,
+    )
 }
 ORACLES: dict[str, str] = {
+    "op2_exact_top_k": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
