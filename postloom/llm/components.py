@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postloom.llm.shared import materialize
@@ -63,12 +63,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     )
 
 
-def _shape(links: DataFrame) -> tuple:
-    return tuple(
-        links.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-    )
+def _written(links: DataFrame) -> tuple[DataFrame, dict]:
+    """The links as a table, and what tells whether a round has changed them, seen while writing."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    links = links.observe(seen, F.count(F.lit(1)).alias("n"), checksum.alias("checksum"))
+    return materialize(links, "links"), seen.get
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -78,11 +78,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.select("a", "b").where("a != b")
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = materialize(links.mapInArrow(fold_links, "a long, b long").distinct(), "links")
-    shape = _shape(links)
-    while shape[0]:
-        links = materialize(_small_star(_large_star(links)).distinct(), "links")
-        now = _shape(links)
+    links, shape = _written(links.mapInArrow(fold_links, "a long, b long").distinct())
+    while shape["n"]:
+        links, now = _written(_small_star(_large_star(links)).distinct())
         if now == shape:
             break
         shape = now

@@ -5,11 +5,11 @@ offers j plus a random fraction to the j-th slot of its order, and a slot keeps
 Rounds are run for all elements of a batch of documents at once; a document is finished as soon as
 all its slots are filled, since later rounds only offer more.
 
-Links are searched among texts with different sets only (equal sets are one class).  A bucket of a
-band is first compared with one centre, then with another; that joins almost all true
-links without pairing the members of a bucket.  What no centre has joined is then compared block by
-block, members of different components only, first by signature, then by the full sets.  Hence every
-pair that shares a band ends in one component or is checked.
+Links are searched among texts with different sets only (equal sets are one class).  The members of
+a bucket are first compared with two centres of it, by their full sets; that joins almost all
+true links without pairing members.  The members outside the largest component of a bucket then
+meet all others of the bucket, block by block, again by their full sets; only links that join
+components leave a block.  Hence every pair that shares a band ends in one component or is checked.
 
 Defined cases: a text with fewer words than a shingle is one shingle; NULL, empty and blank texts have
 none and are linked with nothing; rows that repeat an id are one document with the links of all its
@@ -39,12 +39,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # 25 bands of 5: a pair at similarity 0.8 meets in none with probability 0.00005.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-# Signatures only rule a pair out this far (5 standard deviations) below the wanted similarity.
-MARGIN = 0.18
 CHUNK = 100_000
-BLOCK = 512
-# Ids (8 bytes each) that are broadcast at most; beyond, texts are looked up by a shuffle.
-BROADCAST_IDS = 1_000_000
+# Shingles in a block of a large bucket.
+BLOCK = 300_000
+# Members of small buckets that are compared in one call.
+GROUP = 400
+# Pairs (16 bytes each) that are broadcast at most; beyond, texts are looked up by a shuffle.
+BROADCAST_PAIRS = 1_000_000
 UNFILLED = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -120,7 +121,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-FEATURES = "doc_id long, n_shingles long, same binary, bands array<long>, signature binary"
+FEATURES = "doc_id long, n_shingles long, same binary, bands array<long>"
 
 
 def features(size: int):
@@ -129,7 +130,6 @@ def features(size: int):
 
         def rows(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             signatures = super_minhash(sets)
-            small = (mixed(signatures) & np.uint64(0xFF)).astype(np.uint8)
             keys = band_keys(signatures)
             lists = pa.ListArray.from_arrays(
                 np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.reshape(-1))
@@ -140,9 +140,8 @@ def features(size: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     lists,
-                    pa.array([row.tobytes() for row in small], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "same", "bands", "signature"],
+                names=["doc_id", "n_shingles", "same", "bands"],
             )
 
         for batch in batches:
@@ -160,22 +159,6 @@ def features(size: int):
     return of
 
 
-def alike(threshold: int):
-    """Keep the pairs (a, b, signature_a, signature_b) whose signatures do not rule them out."""
-    least = threshold / 100 - MARGIN
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS)
-                for i in (2, 3)
-            ]
-            near = (sides[0] == sides[1]).mean(axis=1) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    return of
-
-
 def linked(size: int, threshold: int):
     """Keep the pairs (a, b, text_a, text_b) whose full sets reach the similarity."""
 
@@ -194,24 +177,48 @@ def linked(size: int, threshold: int):
     return of
 
 
-def across(threshold: int):
-    """Pairs of a bucket's two blocks in different components that signatures do not rule out."""
-    least = threshold / 100 - MARGIN
+def meetings(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set on the left, the sizes of its intersections with all sets on the right."""
+    owner = np.repeat(np.arange(len(right)), [len(r) for r in right])
+    elements = np.concatenate(right)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    for one in left:
+        first, last = np.searchsorted(elements, one), np.searchsorted(elements, one, "right")
+        held = last - first
+        at = np.repeat(first - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))
+        yield np.bincount(owner[at], minlength=len(right))
 
-    def of(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("doc_id")
-        ids, comps = block["doc_id"].to_numpy(), block["component"].to_numpy()
-        sides = np.frombuffer(b"".join(block["signature"]), np.uint8).reshape(-1, SLOTS)
-        one, two = int(block["first"].iloc[0]), int(block["second"].iloc[0])
-        left = np.flatnonzero(block["block"].to_numpy() == one)
-        right = np.flatnonzero(block["block"].to_numpy() == two)
+
+def across(size: int, threshold: int):
+    """Links between the components of a bucket: its minor members against a block of all.
+
+    Each minor member gets one link at most to each other component.  A group has many small
+    buckets or a block of a large one.
+    """
+    hashes = WordHashes()
+
+    def of(group: pd.DataFrame) -> pd.DataFrame:
+        sets = {t: shingles(t, size, hashes) for t in group["text"].unique()}
+        group = group.sort_values(["bucket", "block", "chunk"], kind="stable")
+        keys = group[["bucket", "block", "chunk"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        ids, comps = group["doc_id"].to_numpy(), group["component"].to_numpy()
+        minor, texts = group["minor"].to_numpy(bool), group["text"].tolist()
         found = []
-        for i in left:
-            near = (sides[right] == sides[i]).mean(axis=1) >= least
-            j = right[near & (comps[right] != comps[i])]
-            found.append(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        for start, end in zip(starts, np.r_[starts[1:], len(group)]):
+            left = start + np.flatnonzero(minor[start:end])
+            right = start + np.flatnonzero(~minor[start:end])
+            if not len(left) or not len(right):
+                continue
+            others = [sets[texts[j]] for j in right]
+            lengths = np.array([len(o) for o in others])
+            for i, inner in zip(left, meetings([sets[texts[i]] for i in left], others)):
+                both = len(sets[texts[i]]) + lengths - inner
+                near = right[(100 * inner >= threshold * both) & (comps[right] != comps[i])]
+                _, first = np.unique(comps[near], return_index=True)
+                found += [(ids[i], ids[j]) for j in near[first]]
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return of
 
@@ -232,84 +239,91 @@ class Search:
             "left_semi",
         )
         self.nodes = materialize(nodes.dropDuplicates(["same"]), "nodes")
-        slots = self.nodes.select(F.explode("bands").alias("bucket"), "doc_id")
+        slots = self.nodes.select(F.explode("bands").alias("bucket"), "doc_id", "n_shingles")
         shared = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         self.slots = materialize(slots.join(shared.select("bucket"), "bucket", "left_semi"), "buckets")
 
-    def signed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures do not rule them out."""
-        of = self.nodes.select("doc_id", "signature")
-        pairs = pairs.join(of.toDF("a", "signature_a"), "a").join(of.toDF("b", "signature_b"), "b")
-        pairs = pairs.select("a", "b", "signature_a", "signature_b")
-        return pairs.mapInArrow(alike(self.threshold), "a long, b long").distinct()
-
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The written links among the pairs: both whole texts meet and are compared."""
         pairs = materialize(pairs, "pairs")
-
-        def texts(side: str) -> DataFrame:
-            ids = pairs.select(F.col(side).alias("doc_id")).distinct()
-            few = pairs.count() <= BROADCAST_IDS
-            return self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").toDF(
-                side, f"text_{side}"
-            )
-
-        both = pairs.join(texts("b"), "b").join(texts("a"), "a")
-        both = both.select("a", "b", "text_a", "text_b")
+        few = pairs.count() <= BROADCAST_PAIRS
+        small = F.broadcast if few else lambda table: table
+        right = self.docs.join(small(pairs.withColumnRenamed("b", "doc_id")), "doc_id")
+        right = right.select("a", F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        left = self.docs.join(small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id")
+        left = left.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+        both = right.join(left, "a").select("a", "b", "text_a", "text_b")
         links = both.mapInArrow(linked(self.size, self.threshold), "a long, b long")
         return materialize(links, "links")
 
     def open_slots(self, found: DataFrame) -> DataFrame:
-        """Members with their components, of buckets that hold more than one component."""
+        """Members of buckets with several components, dealt into blocks: (bucket, block, chunk).
+
+        Members outside the largest component of a bucket are its minor ones.  Each member is in
+        one block; the minor ones, in chunks, meet every block.
+        """
         at = self.slots.join(found, F.col("doc_id") == F.col("node"), "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
+            "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
         )
-        several = at.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low != high")
-        return materialize(at.join(several.select("bucket"), "bucket", "left_semi"), "open")
-
-    def with_centre(self, slots: DataFrame, by) -> DataFrame:
-        centre = slots.groupBy("bucket").agg(
-            F.min_by(F.struct("doc_id", "component"), by).alias("centre")
+        by_component = at.groupBy("bucket", "component").agg(
+            F.count("*").alias("n"), F.sum("n_shingles").alias("n_shingles")
         )
-        return (
-            slots.join(centre, "bucket")
-            .where((F.col("doc_id") != F.col("centre.doc_id")) & (F.col("component") != F.col("centre.component")))
-            .select(F.col("centre.doc_id").alias("a"), F.col("doc_id").alias("b"))
-            .distinct()
+        shares = by_component.groupBy("bucket").agg(
+            F.max_by("component", F.struct("n", "component")).alias("largest"),
+            F.max(F.struct("n", "component", "n_shingles")).alias("most"),
+            F.sum("n_shingles").alias("all"),
+            F.count("*").alias("components"),
+        )
+        shares = shares.where("components > 1").select(
+            "bucket",
+            "largest",
+            F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("all") - F.col("most.n_shingles")) / BLOCK).cast("int").alias("chunks"),
         )
+        dealt = at.join(shares, "bucket").withColumn("hash", F.xxhash64("doc_id"))
+
+        def all_of(n: str):
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    def in_blocks(self, slots: DataFrame) -> DataFrame:
-        sizes = slots.groupBy("bucket").agg(F.count("*").alias("n"))
-        last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
-        dealt = slots.join(sizes, "bucket").withColumn(
-            "block", F.pmod(F.xxhash64("doc_id"), last + 1).cast("int")
+        def one_of(n: str):
+            return F.pmod(F.col("hash"), F.col(n)).cast("int")
+
+        columns = ["bucket", "doc_id", "component"]
+        every = dealt.select(*columns, one_of("blocks").alias("block"), all_of("chunks").alias("chunk"), F.lit(False).alias("minor"))
+        minor = dealt.where("component != largest").select(
+            *columns, all_of("blocks").alias("block"), one_of("chunks").alias("chunk"), F.lit(True).alias("minor")
         )
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-        dealt = dealt.select(
-            "bucket", "doc_id", "component", "block",
-            F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"),
+        return materialize(every.unionByName(minor), "open")
+
+    def with_centres(self, slots: DataFrame) -> DataFrame:
+        """Every member of a bucket with two of them: the smallest id and the smallest hash of ids."""
+        centres = slots.groupBy("bucket").agg(
+            F.array(F.min("doc_id"), F.min_by("doc_id", F.xxhash64("doc_id"))).alias("centres")
         )
-        signed = dealt.join(self.nodes.select("doc_id", "signature"), "doc_id")
         return (
-            signed.groupBy("bucket", "first", "second")
-            .applyInPandas(across(self.threshold), "a long, b long")
+            slots.join(centres, "bucket")
+            .select(F.explode(F.array_distinct("centres")).alias("a"), F.col("doc_id").alias("b"))
+            .where("a != b")
             .distinct()
         )
 
+    def links_across(self, slots: DataFrame) -> DataFrame:
+        """The written links that join components within a bucket."""
+        rows = slots.count()
+        few = F.broadcast if rows <= BROADCAST_PAIRS else lambda table: table
+        told = self.docs.join(few(slots), "doc_id").withColumn(
+            "group", F.pmod(F.xxhash64("bucket", "block", "chunk"), F.lit(rows // GROUP + 1))
+        )
+        links = told.groupBy("group").applyInPandas(
+            across(self.size, self.threshold), "a long, b long"
+        )
+        return materialize(links, "links")
+
     def components(self) -> DataFrame:
         """(node, component) of every class that is linked with another."""
-        spark = self.docs.sparkSession
-        links = None
-        found = spark.createDataFrame([], "node long, component long")
-        for by in (F.col("doc_id"), F.xxhash64("doc_id"), None):
-            slots = self.open_slots(found)
-            pairs = self.in_blocks(slots) if by is None else self.signed(self.with_centre(slots, by))
-            more = self.confirmed(pairs)
-            links = more if links is None else links.unionByName(more)
-            found = components(links)
-        return found
+        found = components(self.confirmed(self.with_centres(self.slots)))
+        more = self.links_across(self.open_slots(found))
+        return components(found.toDF("a", "b").unionByName(more))
 
 
 def decide(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
