@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import chat, exact_dedup, mixing, near_dedup, quality, sentence_pieces, token_files, topk
+from postloom.llm import (
+    chat,
+    exact_dedup,
+    html_labeller,
+    mixing,
+    near_dedup,
+    quality,
+    sentence_pieces,
+    token_files,
+    topk,
+)
 from postloom.llm.shared import documents, materialize, table
 from postloom.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_labeller.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors of every fiftieth vector."""
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -119,6 +134,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_html_text,
         op2_exact_top_k,
         op3_chat_format,
         op4_mix_sources,
