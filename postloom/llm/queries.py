@@ -11,6 +11,7 @@ from postloom.llm import (
     chat,
     exact_dedup,
     html_labeller,
+    licenses,
     mixing,
     near_dedup,
     quality,
@@ -95,6 +96,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that the paragraphs of every document name."""
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.withColumn("licenses", F.array_join("licenses", "|"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of near copies, on four-word shingles."""
     return near_dedup.decide(documents(spark, sf_dir), size=4, threshold=80)
@@ -138,6 +145,7 @@ QUERIES: dict[str, Query] = {
         op2_exact_top_k,
         op3_chat_format,
         op4_mix_sources,
+        op5_license_scan,
         op6_near_dedup,
         op7_token_files,
         op8_quality,
