@@ -13,6 +13,7 @@ as the tokenizer's file says; an empty table gives empty files.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -30,9 +31,109 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 # Characters encoded at once, which bounds the memory that encodings take.
 CHARS = 1_000_000
+# New words that are encoded as lines of one text.
+LINES = 2000
+# Different words that a task remembers.
+REMEMBERED = 400_000
+# White space for every library, and all that any library takes for white space.
+SPACE = r" \t\n\r\f\v"
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+ANY_SPACE = r"\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff"
 SCHEMA = "doc_id long, part int, before long, n_tokens int, ids array<int>"
 
 
+class Numbered(dict):
+    """Numbers keys as they come; new ones are listed in ``fresh``."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        self[key] = number = len(self)
+        return number
+
+
+class WordEncoder:
+    """Encodes whole texts by a tokenizer of this kind, each different word once.
+
+    A byte-level tokenizer cuts a text into words before anything else.  A word never holds a white
+    space that follows another character, nor punctuation (but an apostrophe) that follows a letter.
+    So a text cut there has the ids of its parts, in order; parts met before (up to
+    ``REMEMBERED``) are not encoded again.  Punctuation of special tokens is left uncut.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        special = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        marks = re.escape("".join(c for c in MARKS if c not in special[1:]))
+        # White space that could join with a line end: any but one space in front of something else.
+        self.spaced = re.compile(f".[{ANY_SPACE}]|^[^\\S ]|^[{ANY_SPACE}]$|^[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]", re.DOTALL).search
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        # Letters up to a cut; punctuation up to one; anything up to a white space; the rest.
+        self.parts = re.compile(
+            f"[{SPACE}]*[{marks}]*[{LETTERS}]+(?=[{SPACE}{marks}])|[{SPACE}]*[{marks}]+(?=[{SPACE}])"
+            f"|.+?(?=(?<=[^{ANY_SPACE}])[{SPACE}])|.+",
+            re.DOTALL,
+        )
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = Numbered()
+        self.flat = np.zeros(0, np.int32)
+        self.starts = self.stops = np.zeros(0, np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Append the ids of new parts; parts without inner white space as lines of a few texts."""
+        first, size = len(self.flat), np.zeros(len(parts), np.int64)
+        apart = np.array([self.spaced(p) is not None for p in parts], bool)
+        order, flat = [], [self.flat]
+        lines = np.flatnonzero(~apart)
+        for start in range(0, len(lines), LINES):
+            some = lines[start : start + LINES]
+            text = "\n".join([parts[i] for i in some.tolist()])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) != len(some):  # line ends do not stand apart here
+                apart[some] = True
+                continue
+            size[some] = np.diff(ends, prepend=-1) - 1
+            order.append(some)
+            flat.append(ids[ids != self.line_end])
+        some = np.flatnonzero(apart)
+        for i, found in zip(some, self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)):
+            size[i] = len(found.ids)
+            flat.append(np.array(found.ids, np.int32))
+        order = np.concatenate([*order, some])
+        stops = np.zeros(len(parts), np.int64)
+        stops[order] = first + np.cumsum(size[order])
+        self.flat = np.concatenate(flat)
+        self.starts = np.concatenate([self.starts, stops - size])
+        self.stops = np.concatenate([self.stops, stops])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        number, rows = self.known.__getitem__, []
+        for text in texts:
+            parts = self.parts.findall(text)
+            rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        if self.known.fresh:
+            self._learn(self.known.fresh)
+            self.known.fresh = []
+        return [self.flat[_ranges(self.starts[row], self.stops[row])] for row in rows]
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All positions from each start up to its end, one after the other."""
+    sizes = ends - starts
+    shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return shift + np.arange(int(sizes.sum()))
+
+
 def _stretches(texts: list[str], limit: int) -> Iterator[list[str]]:
     some, held = [], 0
     for text in texts:
@@ -47,21 +148,17 @@ def _stretches(texts: list[str], limit: int) -> Iterator[list[str]]:
 
 def encoder(path: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        words = WordEncoder(path)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
             at = 0
             for some in _stretches(texts, CHARS):
-                found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                rows = [np.array(e.ids + [end], np.int32) for e in found]
+                rows = [np.append(row, np.int32(end)) for row in words.encode(some)]
                 sizes = np.array([len(r) for r in rows], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(
-                    pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(rows))
+                    pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(rows).astype(np.int32))
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -119,13 +216,13 @@ def write_tokens(
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of every document; ``start``: ids of all documents before it."""
     rows = spark.read.schema(SCHEMA).parquet(folder)
-    # One row per file.
+    # One row per file, whatever the files hold.
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("offset")
     )
-    return rows.join(offsets, "part").select(
+    return rows.join(F.broadcast(offsets), "part").select(
         "doc_id",
         (F.col("offset") + F.col("before")).alias("start"),
         F.size("ids").cast("long").alias("n_tokens"),
