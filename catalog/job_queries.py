@@ -703,14 +703,18 @@ def scan_store(spark, sf):
     return job(read_store(spark, folder), stamp("last_seen_at"), stamp("created_at"), stamp("updated_at"))
 
 
-@query("incremental_ingest")
+@query(
+    "incremental_ingest",
+    duck.sql(f"SELECT link, title, score, CAST(1 AS BIGINT) AS seen_count FROM {duck.scored('(SELECT * FROM keyed WHERE seq IN (SELECT seq FROM kept))')}", "kept"),
+)
 def incremental_ingest(spark, sf):
-    """Stream over landed postings; checked against the batch run in the tests."""
+    """Stream over postings landed in several files."""
     from postloom.schema import POSTING_DDL, as_postings
     from postloom.streaming import incremental
 
     folder = new_folder(spark, "stream")
-    as_postings(postings(spark, sf)).write.parquet(f"{folder}/landed")
+    ordered = as_postings(postings(spark, sf)).repartitionByRange(3, "seq").sortWithinPartitions("seq")
+    ordered.drop("seq").write.parquet(f"{folder}/landed")
     landed = incremental.read_landed(spark, f"{folder}/landed", POSTING_DDL)
     incremental.incremental_ingest(landed, f"{folder}/store", f"{folder}/progress", now=NOW)
     return incremental.current(spark, f"{folder}/store").select("link", "title", dbl("score"), "seen_count")

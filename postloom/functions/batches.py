@@ -1,6 +1,7 @@
 """The few steps no built-in expression covers, each a small function over one Arrow batch.
 
-Two uses: folding letters to their unaccented form, and reading elements out of HTML.  The module
+Three uses: folding letters to their unaccented form, reading elements out of HTML, and the sequential
+rule for a small remainder of duplicates.  The module
 is pickled by value, so that executors need no copy of the package.
 """
 
@@ -9,8 +10,10 @@ from __future__ import annotations
 import html
 import sys
 import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -38,6 +41,24 @@ def combining_marks() -> str:
 MARKS = combining_marks()
 
 
+def first_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``seq`` of the rows, given in order, that share none of their keys with a row kept before.
+
+    Only ever given a remainder of checked size.
+    """
+    taken: dict[str, set] = {}
+    for rows in batches:
+        keys = [k for k in rows.columns if k != "seq"]
+        kept = []
+        for row in rows.itertuples(index=False):
+            own = {k: getattr(row, k) for k in keys}
+            if not any(value in taken.setdefault(k, set()) for k, value in own.items()):
+                kept.append(row.seq)
+                for k, value in own.items():
+                    taken[k].add(value)
+        yield pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
+
+
 def fold_lists(lists: pa.Array) -> pa.Array:
     """Compatibility-decompose every string of every list and drop the combining marks."""
     texts = pc.utf8_normalize(lists.flatten().cast(pa.string()), form="NFKD")
@@ -151,3 +172,61 @@ def read_pages(firsts: dict[str, list[dict]], alls: dict[str, list[dict]]):
         return pa.array([read_elements(p, firsts, alls) for p in pages.to_pylist()], kind)
 
     return run
+
+
+class CardReader(ElementReader):
+    """Elements of every card of a result page: of the outermost boxes, or of items of a list."""
+
+    def __init__(self, wanted: dict[str, list[dict]], boxes: list[dict], lists: list[dict]):
+        super().__init__(wanted)
+        self.boxes, self.lists = boxes, lists
+        self.list_at: list[int] = []  # depths of open lists
+        self.card_at: int | None = None
+        self.cards: list[tuple[dict, list[str]]] = []
+
+    def handle_starttag(self, tag, attrs):
+        values = {name: value or "" for name, value in attrs}
+        if self.card_at is None:
+            item = tag == "li" and bool(self.list_at) and self.list_at[-1] + 1 == len(self.open)
+            if item or any(self.fits(box, tag, values) for box in self.boxes):
+                self.card_at = len(self.open)
+                self.matches, self.pieces = {name: [] for name in self.wanted}, []
+                self.cards.append((self.matches, self.pieces))
+            elif any(self.fits(x, tag, values) for x in self.lists):
+                self.list_at.append(len(self.open))
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        depth = len(self.open)
+        if self.card_at is not None and depth <= self.card_at:
+            self.card_at, self.matches, self.pieces = None, {name: [] for name in self.wanted}, []
+        while self.list_at and depth <= self.list_at[-1]:
+            self.list_at.pop()
+
+
+def read_card_list(firsts: dict[str, list[dict]], boxes: list[dict], lists: list[dict]):
+    """Function for an Arrow UDF: one HTML column in, a list of card structs out.
+
+    A page without any box is one card itself, as a stored single card is.
+    """
+    text = pa.string()
+    kind = pa.list_(pa.struct([*((n, text) for n in firsts), ("text", text), ("lines", text)]))
+
+    def cards(page: str | None) -> list[dict]:
+        reader = CardReader(firsts, boxes, lists)
+        reader.feed(page or "")
+        reader.close()
+        if not reader.cards:
+            return [read_elements(page, firsts, {})]
+        rows = []
+        for matches, pieces in reader.cards:
+            firsts_of = {n: m[0] if m else None for n, m in matches.items()}
+            row = {n: m if m is None or isinstance(m, str) else " ".join(m) for n, m in firsts_of.items()}
+            rows.append(row | {"text": " ".join(pieces), "lines": "\n".join(pieces)})
+        return rows
+
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([cards(p) for p in pages.to_pylist()], kind)
+
+    return run

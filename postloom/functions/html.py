@@ -128,8 +128,15 @@ PAGE_ALLS = {
 }
 
 
-def card_elements(page: Column) -> Column:
-    return _elements_udf(CARD_FIRSTS, {})(page)
+CARD_BOXES = [{"tag": "div", "token": "base-search-card"}]
+CARD_LISTS = [{"tag": "ul", "token": "jobs-search__results-list"}]
+
+
+def card_list(page: Column) -> Column:
+    """Elements of every card of a page, one struct per card."""
+    fields = ", ".join(f"{n}: string" for n in (*CARD_FIRSTS, "text", "lines"))
+    reader = batches.read_card_list(CARD_FIRSTS, CARD_BOXES, CARD_LISTS)
+    return F.arrow_udf(reader, f"array<struct<{fields}>>").asNondeterministic()(page)
 
 
 def page_elements(page: Column) -> Column:

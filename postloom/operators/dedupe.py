@@ -13,30 +13,16 @@ may split a hot key over many tasks.  No two rows are ever paired.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.functions import batches
 from postloom.functions.keys import with_keys
-from postloom.session import at_most, materialize
+from postloom.session import materialize, written
 
 KEYS = ("link", "fingerprint", "content_hash")
-
-
-def _first_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sequential rule itself; only ever given a remainder of checked size, sorted by seq."""
-    taken: dict[str, set] = {k: set() for k in KEYS}
-    for rows in batches:
-        kept = []
-        for row in rows.itertuples(index=False):
-            keys = {k: getattr(row, k) for k in KEYS}
-            if not any(keys[k] in taken[k] for k in KEYS):
-                kept.append(row.seq)
-                for k in KEYS:
-                    taken[k].add(keys[k])
-        yield pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
+# Rows of keys, of at most 500 characters each, that are broadcast: below 200 MB in memory.
+SMALL_BATCH_ROWS = 100_000
 
 
 def _firsts_of_all_keys(undecided: DataFrame) -> DataFrame:
@@ -48,8 +34,15 @@ def _firsts_of_all_keys(undecided: DataFrame) -> DataFrame:
         ).alias("k"),
     )
     firsts = tagged.groupBy("k.kind", "k.key").agg(F.min("seq").alias("seq"))
-    wins = F.count(F.lit(1)).over(Window.partitionBy("seq"))  # at most one row per kind
-    return firsts.withColumn("wins", wins).filter(F.col("wins") == len(KEYS)).drop("wins")
+    won = F.bit_or(F.expr("shiftleft(1, kind)")).over(Window.partitionBy("seq"))
+    return firsts.withColumn("won", won).filter(F.col("won") == 2 ** len(KEYS) - 1).drop("won")
+
+
+def check_order(numbered: DataFrame) -> None:
+    """Fail where ``seq`` is no order: a number is missing or given twice."""
+    rows, numbers = numbered.agg(F.count(F.lit(1)), F.count_distinct("seq")).first()
+    if rows != numbers:
+        raise ValueError(f"seq must number the postings: {rows} rows have {numbers} different numbers")
 
 
 def kept_sequence(
@@ -57,29 +50,31 @@ def kept_sequence(
 ) -> DataFrame:
     """``seq`` of the postings to keep, from rows of (seq, link, fingerprint, content_hash).
 
-    ``seq`` is a unique total order.  Random input needs a handful of rounds; long chains of
-    alternating conflicts need many, so after ``tail_after`` rounds a remainder of at most
-    ``tail_rows`` rows is decided by the sequential rule in one task.  A larger remainder goes
-    on in rounds, however many it takes: each one decides at least its first posting.
+    ``seq`` is a unique total order; otherwise this fails.  Random input needs a handful of
+    rounds; long chains of alternating conflicts need many, so after ``tail_after`` rounds a
+    remainder of at most ``tail_rows`` rows is decided by the sequential rule in one task.  A
+    larger remainder goes on in rounds, however many it takes: each one decides at least its first
+    posting.  Rows are counted as they are written.
     """
+    check_order(keyed)
     # A missing key counts as a value of its own, as joins would never match it.
     keyed = keyed.select("seq", *[F.coalesce(k, F.lit("\0")).alias(k) for k in KEYS])
     # Rows equal in all keys share one fate: only the first can be kept.
-    undecided = materialize(keyed.groupBy(*KEYS).agg(F.min("seq").alias("seq")), "dedupe-open")
+    undecided, left = written(keyed.groupBy(*KEYS).agg(F.min("seq").alias("seq")), "dedupe-open")
     kept: list[DataFrame] = []
     rounds = 0
-    while not at_most(undecided, 0):
-        if rounds >= tail_after and at_most(undecided, tail_rows):
+    while left:
+        if rounds >= tail_after and left <= tail_rows:
             ordered = undecided.coalesce(1).sortWithinPartitions("seq")
-            kept.append(materialize(ordered.mapInPandas(_first_in_order, "seq long"), "dedupe-kept"))
+            kept.append(materialize(ordered.mapInPandas(batches.first_in_order, "seq long"), "dedupe-kept"))
             break
-        winners = materialize(_firsts_of_all_keys(undecided), "dedupe-kept", "kind")
+        winners, won = written(_firsts_of_all_keys(undecided), "dedupe-kept", "kind")
         kept.append(winners.filter("kind = 0").select("seq"))
         rest = undecided
         for kind, key in enumerate(KEYS):
             taken = winners.filter(F.col("kind") == kind).select(F.col("key").alias(key))
-            rest = rest.join(taken, key, "left_anti")
-        undecided = materialize(rest.select("seq", *KEYS), "dedupe-open")
+            rest = rest.join(F.broadcast(taken) if won <= SMALL_BATCH_ROWS else taken, key, "left_anti")
+        undecided, left = written(rest.select("seq", *KEYS), "dedupe-open")
         rounds += 1
     result = undecided.select("seq").limit(0) if not kept else kept[0]
     for more in kept[1:]:
@@ -103,9 +98,6 @@ def dedupe_batch(postings: DataFrame, **tail) -> DataFrame:
 
 # --- looking keys up in the store ------------------------------------------------------------------
 
-SMALL_BATCH_ROWS = 100_000  # three keys of at most 500 characters each: below 200 MB in memory
-
-
 def existing_keys(
     store: DataFrame, keys: DataFrame, key: str, as_of=None, window_days: int | None = None,
     small: bool | None = None,
@@ -123,7 +115,8 @@ def existing_keys(
         stored = stored.filter(F.col("created_at") >= since)
     stored = stored.select(key)
     if small is None:
-        small = at_most(wanted, SMALL_BATCH_ROWS)
+        wanted, rows = written(wanted.distinct(), "wanted-keys")
+        small = rows <= SMALL_BATCH_ROWS
     if small:
         return stored.join(F.broadcast(wanted.distinct()), key, "left_semi").distinct()
     return stored.distinct().join(wanted.distinct(), key, "left_semi")
@@ -131,8 +124,8 @@ def existing_keys(
 
 def drop_stored(kept: DataFrame, store: DataFrame) -> DataFrame:
     """Postings none of whose keys is stored."""
-    keys = materialize(kept.select("seq", *KEYS), "batch-keys")
-    small = at_most(keys, SMALL_BATCH_ROWS)
+    keys, rows = written(kept.select("seq", *KEYS), "batch-keys")
+    small = rows <= SMALL_BATCH_ROWS
     fresh = kept
     for key in KEYS:
         fresh = fresh.join(existing_keys(store, keys, key, small=small), key, "left_anti")

@@ -92,13 +92,15 @@ def validate_postings(df: DataFrame) -> DataFrame:
     )
 
 
+def with_errors(df: DataFrame) -> DataFrame:
+    """Validated postings with ``errors`` and ``valid``; to be written once where both kinds are used."""
+    return validate_postings(df).withColumn("valid", F.size("errors") == 0)
+
+
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid postings, rejected postings with their ``errors``)."""
-    checked = validate_postings(df)
-    return (
-        checked.filter(F.size("errors") == 0).drop("errors"),
-        checked.filter(F.size("errors") > 0),
-    )
+    checked = with_errors(df)
+    return checked.filter("valid").drop("valid", "errors"), checked.filter("not valid").drop("valid")
 
 
 def redact_columns(df: DataFrame) -> DataFrame:

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _within(limit: int, low: int, high: int) -> int:
-    if not low <= limit <= high:
-        raise ValueError(f"limit must lie between {low} and {high}")
+def _within(limit: int, low: int, high: int | None = None) -> int:
+    """The limit, if it is in its range; only settings with a range of their own have an upper end."""
+    if limit < low or (high is not None and limit > high):
+        raise ValueError(f"limit must be at least {low}" + (f", at most {high}" if high else ""))
     return limit
 
 
 def recent_jobs(store: DataFrame, limit: int = 50) -> DataFrame:
-    return store.orderBy(F.desc_nulls_first("created_at"), "link").limit(_within(limit, 1, 200))
+    return store.orderBy(F.desc_nulls_first("created_at"), "link").limit(_within(limit, 1))
 
 
 def top_jobs(store: DataFrame, limit: int = 10, min_score: float = 0.0) -> DataFrame:
@@ -28,7 +29,7 @@ def top_jobs(store: DataFrame, limit: int = 10, min_score: float = 0.0) -> DataF
     return (
         store.filter(F.col("score") >= F.lit(bound).cast("decimal(5,2)"))
         .orderBy(F.desc("score"), F.desc_nulls_first("last_seen_at"), "link")
-        .limit(_within(limit, 1, 50))
+        .limit(_within(limit, 1))
     )
 
 

@@ -37,26 +37,30 @@ def upsert_postings(
 ) -> DataFrame:
     """Next snapshot: insert by link, or replace the business columns and count the sighting.
 
-    Both sides hold every link once.  A matched row keeps id, link and created_at.  New rows take
+    Both sides hold every link once; a batch that does not fails.  A matched row keeps id, link and
+    created_at.  New rows take
     the id the batch brings.  By default one full outer join on link.  For a batch known to be
     small (``small_batch``, to be set by a count) only its links are broadcast: stored rows with
     other links pass through where they lie, and just the touched rows are joined.
     """
+    check_unique(batch)
     if not small_batch:
-        return _merge(snapshot, batch, now)
+        return merge_rows(snapshot, batch, now)
     links = F.broadcast(batch.select("link"))
     untouched = snapshot.join(links, "link", "left_anti")
     touched = snapshot.join(links, "link", "left_semi")
-    merged = _merge(touched, batch, now)
+    merged = merge_rows(touched, batch, now)
     return untouched.select(*merged.columns).unionByName(merged)
 
 
-def _merge(snapshot: DataFrame, batch: DataFrame, now) -> DataFrame:
+def merge_rows(snapshot: DataFrame, batch: DataFrame, now, *marks: str) -> DataFrame:
+    """The full outer join of an upsert; ``marks`` names two flags: was stored, is in the batch."""
     columns = [c for c in ("id", "link", *BUSINESS_COLUMNS, *STATE) if c in snapshot.columns]
     incoming = payload_defaults(batch, now)
     values = F.struct(*[c for c in incoming.columns if c != "link"]).alias("new")
-    both = snapshot.join(incoming.select("link", values), "link", "full_outer")
-    stored, arrived = F.col("created_at").isNotNull(), F.col("new").isNotNull()
+    known = snapshot.withColumn("__stored", F.lit(True))
+    both = known.join(incoming.select("link", values), "link", "full_outer")
+    stored, arrived = F.col("__stored").isNotNull(), F.col("new").isNotNull()
     again = stored & arrived
 
     update = {
@@ -65,13 +69,21 @@ def _merge(snapshot: DataFrame, batch: DataFrame, now) -> DataFrame:
         if c in BUSINESS_COLUMNS and c in incoming.columns
     }
     update["id"] = F.coalesce("id", "new.id")
-    update["created_at"] = F.coalesce("created_at", _at(now))
+    update["created_at"] = F.when(stored, F.col("created_at")).otherwise(_at(now))
     update["seen_count"] = (
         F.when(again, F.col("seen_count") + 1).otherwise(F.coalesce("seen_count", "new.seen_count"))
     )
     for c in ("last_seen_at", "updated_at"):
         update[c] = F.when(again, _at(now)).otherwise(F.coalesce(c, f"new.{c}"))
-    return both.withColumns(update).select(*columns)
+    flags = [c.alias(n) for c, n in zip((stored, arrived), marks)]
+    return both.withColumns(update).select(*columns, *flags)
+
+
+def check_unique(batch: DataFrame) -> None:
+    """Fail where a batch holds a link twice, which would be stored twice."""
+    rows, links = batch.agg(F.count(F.lit(1)), F.count_distinct("link")).first()
+    if rows != links:
+        raise ValueError(f"a batch holds every link once: {rows} rows have {links} different links")
 
 
 def upsert_counts(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
@@ -92,21 +104,29 @@ def fold_sightings(
 ) -> DataFrame:
     """Append-only sightings to one row per key: latest values, first and last sighting, count.
 
-    The append-only way to the state an upsert keeps.  The aggregation is combined map-side, so
-    a key seen in a third of all rows is one row per map task when it is shuffled.  Sightings of
-    the same time go by ``order``.
+    The append-only way to the state an upsert keeps.  Only (key, time, order) is aggregated, by
+    hash and combined map-side, so a key seen in a third of all rows is one row per map task
+    when it is shuffled; the wide rows are joined once with the place of the latest of their key and
+    never sorted by an aggregation.  Sightings of the same time go by ``order``, which is an integer
+    and tells the sightings of a key and time apart.
     """
-    values = [c for c in sightings.columns if c != key]
-    latest = F.max_by(F.struct(*values), F.struct(F.col(seen_at), F.col(order)))
-    folded = sightings.groupBy(key).agg(
-        latest.alias("latest"),
-        F.min(seen_at).alias(first),
-        F.max(seen_at).alias(last),
-        F.count(F.lit(1)).alias(count),
+    # Time and order as one number, so that its maximum needs no struct (and with it no sorting).
+    micros = F.coalesce(F.unix_micros(F.col(seen_at).cast("timestamp")), F.lit(-(10**17))).cast("decimal(38,0)")
+    place = micros * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col(order)
+    at = sightings.withColumn("__place", place.cast("decimal(38,0)"))
+    folded = at.groupBy(F.col(key).alias("__key")).agg(
+        F.max("__place").alias("__last"),
+        F.min(seen_at).alias("__first_at"),
+        F.max(seen_at).alias("__last_at"),
+        F.count(F.lit(1)).alias("__count"),
         F.min(order).alias("first_seq"),
     )
-    kept = [c for c in values if c not in (seen_at, first, last, count)]
-    return folded.select(key, *[F.col(f"latest.{c}").alias(c) for c in kept], first, last, count, "first_seq")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__place") == F.col("__last"))
+    kept = [c for c in sightings.columns if c not in (key, seen_at, first, last, count)]
+    return at.join(folded, same).select(
+        key, *kept, F.col("__first_at").alias(first), F.col("__last_at").alias(last),
+        F.col("__count").alias(count), "first_seq",
+    )
 
 
 def snapshot_of(sightings: DataFrame) -> DataFrame:

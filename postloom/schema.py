@@ -35,6 +35,9 @@ POSTING: dict[str, str] = {
 }
 POSTING_DDL = ", ".join(f"{name} {kind}" for name, kind in POSTING.items())
 
+# What readers carry along beside the posting: its number, or where its record stood.
+CARRIED = ("seq", "landed_file", "landed_row")
+
 # Columns an upsert replaces; the stored row adds id, created_at and the sighting columns.
 BUSINESS_COLUMNS = (
     "title", "company", "location", "stack", "source", "external_id", "fingerprint",
@@ -73,6 +76,7 @@ def with_posting_columns(df: DataFrame) -> DataFrame:
 
 
 def as_postings(df: DataFrame) -> DataFrame:
-    """Exactly the posting columns, in order and with their types."""
+    """The posting columns, in order and with their types, and where the record stood, if known."""
     df = with_posting_columns(df)
-    return df.select(*[F.col(n).cast(t).alias(n) for n, t in POSTING.items()])
+    place = [c for c in ("landed_file", "landed_row") if c in df.columns]
+    return df.select(*[F.col(n).cast(t).alias(n) for n, t in POSTING.items()], *place)

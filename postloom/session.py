@@ -6,7 +6,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -60,6 +61,8 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; reads no more than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+def written(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, int]:
+    """``materialize`` with the number of rows, counted while they are written."""
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    return materialize(counted, name, *partition_by), seen.get["rows"]

@@ -57,23 +57,37 @@ class Union:
 
 
 def union_sources(
-    spark: SparkSession, paths: dict[str, str], names: Iterable[str] | None = None
+    spark: SparkSession,
+    paths: dict[str, str],
+    names: Iterable[str] | None = None,
+    keep: Callable[[str, DataFrame], DataFrame] | None = None,
+    options: dict[str, dict] | None = None,
 ) -> Union:
     """All postings of the selected sources, each with its ``source_rank``.
 
-    A source that cannot be read (missing path, wrong columns) is noted and does not stop the
-    others; broken records inside a source are dealt with row by row by its reader.
+    A source that cannot be read is noted and does not stop the others.  ``keep`` (name, frame)
+    writes a source's rows and returns the written table; it runs inside the guard, so that damaged
+    files, which only show while rows are read, fail their own source alone.  Broken records
+    inside a source are dealt with row by row by its reader.  ``options`` are given to the
+    reader of that name.
     """
     frames: list[DataFrame] = []
     problems: dict[str, str] = {}
     names = select_sources(paths if names is None else names)
     for rank, name in enumerate(names):
         try:
-            frame = as_postings(READERS[name](spark, paths[name]))
+            frame = as_postings(READERS[name](spark, paths[name], **(options or {}).get(name, {})))
+            frame = keep(name, frame) if keep else frame
             frames.append(frame.withColumn("source_rank", F.lit(rank)))
         except Exception as problem:  # noqa: BLE001 - any reader may fail in its own way
-            problems[name] = str(problem).splitlines()[0]
+            problems[name] = _first_line(problem)
     if not frames:
         empty = spark.createDataFrame([], POSTING_DDL).withColumn("source_rank", F.lit(0))
         return Union(empty, names, problems)
-    return Union(functools.reduce(DataFrame.unionByName, frames), names, problems)
+    union = functools.partial(DataFrame.unionByName, allowMissingColumns=True)
+    return Union(functools.reduce(union, frames), names, problems)
+
+
+def _first_line(problem: Exception) -> str:
+    lines = [x for x in str(problem).splitlines() if x.strip()]
+    return lines[0] if lines else type(problem).__name__

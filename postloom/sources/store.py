@@ -1,10 +1,21 @@
-"""Stored snapshots and run logs as parquet tables."""
+"""Stored snapshots and run logs as parquet tables.
+
+A store keeps its rows in buckets of their link.  A run writes new files for the buckets its batch
+touches and then, as its last step, a pointer that names the folder of every bucket; a store is
+read through its latest pointer.  Folders are never changed, so a run that fails leaves the store
+as it was, and what other buckets hold is neither read nor written.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.operators.store import check_unique, merge_rows, run_log_view
+
+BUCKETS = 64
+
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -17,3 +28,76 @@ def write_store(snapshot: DataFrame, path: str) -> None:
     their statistics.
     """
     snapshot.sortWithinPartitions(F.desc("score")).write.mode("errorifexists").parquet(path)
+
+
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" in str(missing):
+            return None
+        raise
+
+
+def pointer(spark: SparkSession, path: str) -> dict[int, str]:
+    """Folder of each bucket in the latest version; empty for a store without any."""
+    pointers = _read_if_there(spark, f"{path}/pointers")
+    if pointers is None:
+        return {}
+    latest = pointers.filter(F.col("v") == pointers.agg(F.max("v")).first()[0])
+    return {row["bucket"]: row["folder"] for row in latest.collect()}  # one row per bucket
+
+
+def current_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the latest version; None for a store without any."""
+    folders = sorted(pointer(spark, path).values())
+    return spark.read.parquet(*folders) if folders else None
+
+
+def bucket_of(link: str = "link", buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(link), F.lit(buckets)).cast("int")
+
+
+def upsert_store(
+    spark: SparkSession, path: str, batch: DataFrame, empty: DataFrame, now, version: int,
+    buckets: int = BUCKETS,
+) -> dict[str, int]:
+    """Merge a batch, of unique links, into the store as a new version; returns what it changed.
+
+    ``empty`` gives the columns of a store that has no version yet.
+    """
+    check_unique(batch)
+    folders = pointer(spark, path)
+    where = bucket_of("link", buckets)
+    touched = sorted(row[0] for row in batch.select(where).distinct().collect())
+    old = [folders[b] for b in touched if b in folders]
+    stored = spark.read.parquet(*old) if old else empty
+    merged = merge_rows(stored, batch, now, "__was", "__is")
+    # What the batch changed is counted as the rows are written.
+    seen = Observation()
+    counted = merged.observe(
+        seen, F.count_if("__is").alias("affected"), F.count_if(F.col("__is") & ~F.col("__was")).alias("inserted")
+    ).drop("__was", "__is")
+    folder = f"{path}/data/v={version}"
+    (
+        counted.withColumn("bucket", where)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", F.desc("score"))
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .parquet(folder)
+    )
+    folders |= {b: f"{folder}/bucket={b}" for b in touched}
+    counts = seen.get if touched else {"affected": 0, "inserted": 0}
+    rows = spark.createDataFrame(sorted(folders.items()), "bucket int, folder string")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/pointers/v={version}")
+    return {**counts, "updated": counts["affected"] - counts["inserted"]}
+
+
+def log_events(path: str, events: DataFrame) -> None:
+    events.coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The run log of a store: one row per run."""
+    return run_log_view(spark.read.parquet(f"{path}/log"))

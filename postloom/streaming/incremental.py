@@ -1,50 +1,87 @@
 """The daily run over a stream of landed postings.
 
-Every micro-batch is deduplicated, scored and appended as sightings to its own folder
+Every micro-batch is numbered, deduplicated, scored and appended as sightings to its own folder
 ``batch=<id>``.  A retried batch overwrites exactly this folder, so it is applied once.  The
 current table is the fold of all sightings; nothing stored earlier is rewritten, which is what
 makes small batches cheap on a large store.
+
+How many files a micro-batch takes has no influence on the result: rows are numbered by (file,
+position), files are taken in the order of their landing, and what earlier micro-batches of the same
+``run`` have kept counts as kept before.  A run is by default a day: a link that comes again in
+another run is one more sighting of it.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.operators.postings import split_valid
+from postloom.functions.keys import with_keys
+from postloom.operators.dedupe import dedupe_batch, drop_stored
+from postloom.operators.postings import with_errors
+from postloom.operators.scoring import build_payloads
 from postloom.operators.store import fold_sightings
-from postloom.plans.daily_run import process
+from postloom.plans.daily_run import numbered
 from postloom.profile import MatchProfile
+from postloom.session import materialize
 
-SIGHTING_ORDER = "batch"
+# Numbers within a batch stay below this, so that (batch, number) is one growing number.
+PER_BATCH = 1 << 40
 
 
 def read_landed(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of parquet files with posting columns."""
+    """Stream of parquet files with posting columns, and where each row stood."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(path).withColumns(
+        {"landed_file": F.col("_metadata.file_path"), "landed_row": F.col("_metadata.row_index")}
+    )
+
+
+def _kept_before(spark: SparkSession, store: str, batch_id: int, run: str) -> DataFrame | None:
+    """Sightings of the run's earlier batches; not of this one, which a retry would meet."""
+    try:
+        rows = spark.read.parquet(f"{store}/sightings")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+            return None
+        raise
+    return rows.filter((F.col("batch") < batch_id) & (F.col("run") == run))
 
 
 def apply_batch(
-    batch: DataFrame, batch_id: int, store: str, now, profile: MatchProfile | None = None
+    batch: DataFrame, batch_id: int, store: str, now, profile: MatchProfile | None = None,
+    run: str = "",
 ) -> None:
     """Process one micro-batch and write it as the sightings of this batch, exactly once."""
-    valid, rejects = split_valid(batch)
-    scored = process(valid, profile or MatchProfile())
-    sightings = scored.withColumn("seen_at", F.lit(now).cast("timestamp") if now else F.current_timestamp())
+    place = [c for c in ("landed_file", "landed_row") if c in batch.columns]
+    ordered = numbered(batch.withColumn("source_rank", F.lit(0)), *place).drop("source_rank")
+    checked = materialize(with_errors(ordered), "checked", "valid")
+    valid = checked.filter("valid").drop("valid", "errors", *place)
+    before = _kept_before(batch.sparkSession, store, batch_id, run)
+    if before is not None:  # before duplicates of the batch, as rows that go here block no others
+        valid = drop_stored(materialize(with_keys(valid), "keyed"), before)
+    scored = build_payloads(dedupe_batch(valid), profile or MatchProfile())
+    seen_at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    sightings = scored.withColumns({"seen_at": seen_at, "run": F.lit(run)})
     sightings.write.mode("overwrite").parquet(f"{store}/sightings/batch={batch_id}")
-    rejects.select("seq", "source", "link", "errors").write.mode("overwrite").parquet(
+    rejects = checked.filter("not valid")
+    rejects.select("seq", "source", "link", "errors", *place).write.mode("overwrite").parquet(
         f"{store}/rejects/batch={batch_id}"
     )
 
 
 def incremental_ingest(
-    landed: DataFrame, store: str, checkpoint: str, now=None, profile: MatchProfile | None = None
+    landed: DataFrame, store: str, checkpoint: str, now=None, profile: MatchProfile | None = None,
+    run: str | None = None,
 ):
     """Run the stream over everything that is there and stop; returns the finished query."""
+    run = run or str((now or dt.datetime.now(dt.timezone.utc)).date())
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, batch_id, store, now, profile)
+        apply_batch(batch, batch_id, store, now, profile, run)
 
     query = (
         landed.writeStream.foreachBatch(write)
@@ -61,6 +98,14 @@ def sightings(spark: SparkSession, store: str) -> DataFrame:
 
 
 def current(spark: SparkSession, store: str) -> DataFrame:
-    """One row per link: latest values, first and last sighting, number of sightings."""
+    """The store: one row per link, latest values, first and last sighting, number of sightings.
+
+    It has the columns of a stored snapshot; ``id`` is made of the batch and the number of the first
+    sighting.  A batch holds a link once, so its number orders the sightings of a link.
+    """
     rows = sightings(spark, store)
-    return fold_sightings(rows, order=SIGHTING_ORDER).drop("first_seq")
+    # Partition numbers are in the upper bits of seq; folded to the room a batch has.
+    within = F.shiftrightunsigned("seq", 33) * F.lit(1 << 26) + F.pmod("seq", F.lit(1 << 26))
+    rows = rows.withColumn("order", F.col("batch").cast("bigint") * PER_BATCH + F.pmod(within, F.lit(PER_BATCH)))
+    folded = fold_sightings(rows.drop("seq", "batch", "run"), order="order")
+    return folded.withColumns({"id": F.col("first_seq"), "updated_at": F.col("last_seen_at")}).drop("first_seq", "order")

@@ -46,6 +46,23 @@ def test_equals_the_sequential_rule(spark, n, values, seed, tail):
     assert kept(spark, rows, **tail) == sequential(rows)
 
 
+@pytest.mark.parametrize("numbers", [[0, 0, 1], [None, 0, 1], [0, 1, 0]])
+def test_numbers_that_are_no_order_are_refused(spark, numbers):
+    rows = [(n, f"l{i}", f"f{i}", f"h{i}") for i, n in enumerate(numbers)]
+    with pytest.raises(ValueError, match="seq must number"):
+        dedupe.kept_sequence(keyed(spark, rows))
+
+
+def test_plan_has_no_single_partition_and_few_jobs(spark):
+    group = "dedupe-jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    found = dedupe.kept_sequence(keyed(spark, random_rows(500, 300, 9)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert "SinglePartition" not in plan and jobs < 45
+
+
 def test_chain_of_conflicts_needs_many_rounds(spark):
     """Row i shares a link with i + 1 for even i and a fingerprint for odd i."""
     rows = [(i, f"l{i // 2}", f"f{(i + 1) // 2}", f"h{i}") for i in range(24)]
