@@ -507,6 +507,53 @@ def best_matches(spark, sf):
     return top.select("seq", "title", "company", "link", "score", pipe(F.col("score_reasons.matched_techs")).alias("matched"))
 
 
+PROFILES = {
+    "default": MatchProfile(),
+    "strict": STRICT,
+    "plain": _PLAIN,
+}
+_BY_PROFILE = " UNION ALL ".join(
+    f"SELECT seq, '{n}' AS profile, title, company, location, link, source, score, CAST(matched AS VARCHAR[]) AS matched FROM {duck.scored('postings', p)}" for n, p in PROFILES.items()
+)
+
+
+@query("score_profiles", duck.sql(f"SELECT seq, profile, score, array_to_string(matched, '|') AS matched FROM ({_BY_PROFILE})", "postings"))
+def score_profiles(spark, sf):
+    """Every posting against several profiles."""
+    r = scoring.score_profiles(postings(spark, sf), PROFILES)
+    return r.select("seq", "profile", "score", pipe(F.col("score_reasons.matched_techs")).alias("matched"))
+
+
+_TOP_BY = f"(SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, link, seq) AS rank FROM ({_BY_PROFILE}))"
+
+
+@query("top_by_profile", duck.sql(f"SELECT profile, rank, seq, link, score FROM {_TOP_BY} WHERE rank <= 10", "postings"))
+def top_by_profile(spark, sf):
+    """The ten best postings of each profile."""
+    top = serve.top_by(scoring.score_profiles(postings(spark, sf), PROFILES), ("profile",), 10)
+    return top.select("profile", F.col("rank").cast("bigint").alias("rank"), "seq", "link", "score")
+
+
+@query(
+    "report_by_profile",
+    duck.sql(
+        f"""SELECT profile, least(count(*), 10) AS jobs, '<b>{v.REPORT_TOTAL}' || count(*) || '</b>' AS last_line,
+            list(link ORDER BY rank)[1] AS first_link FROM {_TOP_BY} GROUP BY profile""",
+        "postings",
+    ),
+)
+def report_by_profile(spark, sf):
+    """One report per profile over the landed postings, checked by its first link and its last line."""
+    scored = scoring.score_profiles(postings(spark, sf), PROFILES)
+    totals = scored.groupBy("profile").agg(F.count(F.lit(1)).alias("total"))
+    told = report.reports_by(serve.top_by(scored, ("profile",), 10), totals, ("profile",), NOW.date())
+    lines = F.split("report", "\n")
+    return told.select(
+        "profile", "jobs", F.element_at(lines, -1).alias("last_line"),
+        F.regexp_replace(F.regexp_extract("report", 'href="([^"]*)"', 1), "&amp;", "&").alias("first_link"),
+    )
+
+
 # --- store --------------------------------------------------------------------------------------------
 
 JOB = "id, title, company, link, source, seniority, score, salary_min, salary_max, contract_type, remote_type, seen_count"
@@ -720,6 +767,12 @@ def incremental_ingest(spark, sf):
     return incremental.current(spark, f"{folder}/store").select("link", "title", dbl("score"), "seen_count")
 
 
+@query("dedupe_rounds", duck.sql("SELECT k.seq, k.link FROM keyed k JOIN kept USING (seq)", "keyed", "kept"))
+def dedupe_rounds(spark, sf):
+    """Duplicates decided by rounds alone, without the sequential rule for a small remainder."""
+    return dedupe.dedupe_batch(keyed(spark, sf), tail_rows=0).select("seq", "link")
+
+
 _DAILY = {
     **ISSUE,
     "landed": f"""SELECT row_number() OVER (ORDER BY seq DESC) AS seq, * EXCLUDE (seq) FROM (SELECT seq, 'issues' AS source, {duck.norm('title')} AS title,
@@ -754,6 +807,42 @@ def daily_run(spark, sf):
     )
 
 
+_SINCE = dt.datetime(2026, 1, 16)
+_OPEN = {
+    **_DAILY,
+    "landed": _DAILY["landed"].replace(
+        "FROM issue WHERE NOT is_pr", "FROM issue WHERE NOT is_pr AND state = 'open' AND touched >= TIMESTAMP '2026-01-02 00:00:00'"
+    ),
+}
+
+
+@query(
+    "daily_run_store",
+    duck.sql(
+        "SELECT link, title, fingerprint, score, CAST(2 AS BIGINT) AS seen_count, (SELECT count(*) FROM daily_scored) AS jobs_new, 'success' AS run_status FROM daily_scored",
+        "bridge",
+        extra=_OPEN,
+    ),
+)
+def daily_run_store(spark, sf):
+    """Two runs of open, recent issues on one versioned store; what is stored, beside the second run's log row."""
+    from postloom.plans.daily_run import RunSettings, run
+    from postloom.sources.store import read_log
+
+    folder = new_folder(spark, "runs")
+    issue_lines(spark, sf).select("value").write.text(f"{folder}/landed")
+    newest_first = (F.desc("published_at"), F.asc("link"), F.asc("external_id"))
+    for number in (1, 2):
+        settings = RunSettings(
+            paths={"issues": f"{folder}/landed"}, now=NOW + dt.timedelta(days=number), run_id=number, order=newest_first,
+            reader_options={"issues": {"as_of": _SINCE, "days": 14}}, store=f"{folder}/store",
+        )
+        last = run(spark, settings)
+    log = F.broadcast(read_log(spark, f"{folder}/store").filter("id = 2").select("jobs_new", F.col("status").alias("run_status"), F.lit(1).alias("one")))
+    stored = last.snapshot.withColumn("one", F.lit(1)).join(log, "one")
+    return stored.select("link", "title", "fingerprint", dbl("score"), F.col("seen_count").cast("bigint").alias("seen_count"), "jobs_new", "run_status")
+
+
 # --- serve --------------------------------------------------------------------------------------------
 
 
@@ -997,8 +1086,11 @@ def export_markdown(spark, sf):
     return spark.read.text(path).filter("value <> ''").select(F.col("value").alias("line"))
 
 
-@query("export_jobs", duck.sql(f"SELECT id, title, score, link FROM {_RECENT}", "store"))
+_MANY = "(SELECT * FROM store ORDER BY created_at DESC NULLS FIRST, link LIMIT 500)"
+
+
+@query("export_jobs", duck.sql(f"SELECT id, title, score, link FROM {_MANY}", "store"))
 def export_jobs(spark, sf):
-    path = exports.export_jobs(store(spark, sf), new_folder(spark, "export"), "csv", 100)
+    path = exports.export_jobs(store(spark, sf), new_folder(spark, "export"), "csv", 500)
     back = spark.read.csv(path, header=True, escape='"', schema="id bigint, title string, company string, location string, source string, score double, seniority string, link string")
     return back.select("id", "title", "score", "link")

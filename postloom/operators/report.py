@@ -88,6 +88,26 @@ def daily_report(
     )
 
 
+def reports_by(
+    ranked: DataFrame, totals: DataFrame, keys: tuple[str, ...], day: dt.date, title: str = "Daily Report"
+) -> DataFrame:
+    """One report per row of ``totals`` (keys, total): its ``ranked`` rows, ten at most, and the total."""
+    first = ranked.filter(F.col("rank") <= v.REPORT_ROWS).select(*keys, "rank", _block(F.col("rank")).alias("block"))
+    blocks = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "block"))).alias("blocks"))
+    told = totals.join(blocks, list(keys), "left")
+    body = F.array_join(F.transform("blocks", lambda b: b["block"]), "\n")
+    return told.select(
+        *keys,
+        F.coalesce(F.size("blocks"), F.lit(0)).cast("bigint").alias("jobs"),
+        F.concat_ws(
+            "\n",
+            F.lit(f"🤖 <b>{title} – {day:%Y-%m-%d}</b>\n"),
+            F.coalesce(body, F.lit(v.REPORT_EMPTY + "\n")),
+            F.concat(F.lit(f"<b>{v.REPORT_TOTAL}"), F.col("total").cast("string"), F.lit("</b>")),
+        ).alias("report"),
+    )
+
+
 def report_gate(jobs: Column, send_empty: bool = False) -> Column:
     return F.when((jobs > 0) | F.lit(send_empty), "sent").otherwise("skipped_empty")
 

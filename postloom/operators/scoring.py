@@ -268,6 +268,20 @@ def score_postings(df: DataFrame, profile: MatchProfile | None = None) -> DataFr
     )
 
 
+def score_profiles(df: DataFrame, profiles: dict[str, MatchProfile]) -> DataFrame:
+    """One row per posting and profile: ``profile``, ``score`` and ``score_reasons`` added.
+
+    The profiles are a small table kept by hand; their wishes become expressions, so postings
+    are read once and no join is needed.
+    """
+    columns, scored = df.columns, df
+    for i, (name, profile) in enumerate(profiles.items()):
+        one = F.struct(F.lit(name).alias("profile"), F.col("score").cast("double").alias("score"), "score_reasons")
+        scored = score_postings(scored, profile).withColumn(f"__profile_{i}", one).drop("score", "score_reasons")
+    each = F.explode(F.array(*[F.col(f"__profile_{i}") for i in range(len(profiles))])).alias("__one")
+    return scored.select(*columns, each).select(*columns, "__one.*")
+
+
 def _reasons(value, matched, missing, factor, positive, negative) -> Column:
     return F.struct(
         value.alias("value"),

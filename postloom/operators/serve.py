@@ -33,6 +33,17 @@ def top_jobs(store: DataFrame, limit: int = 10, min_score: float = 0.0) -> DataF
     )
 
 
+def top_by(scored: DataFrame, keys: tuple[str, ...], limit: int = 10, min_score: float = 0.0) -> DataFrame:
+    """The best of each group with their ``rank``; equal scores go by the link.
+
+    The rank filter becomes a group limit inside the map tasks, so of a group only ``limit`` rows per
+    task are shuffled.
+    """
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("link"), F.asc("seq"))
+    ranked = scored.filter(F.col("score") >= min_score).withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= _within(limit, 1))
+
+
 def top_payloads(payloads: DataFrame, limit: int = 10, min_score: float = 50.0) -> DataFrame:
     """Dry run: the same over payloads not stored yet; equal scores stay in order of arrival."""
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
