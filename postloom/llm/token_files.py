@@ -31,8 +31,6 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 # Characters encoded at once, which bounds the memory that encodings take.
 CHARS = 1_000_000
-# New words that are encoded as lines of one text.
-LINES = 2000
 # Different words that a task remembers.
 REMEMBERED = 400_000
 # White space for every library, and all that any library takes for white space.
@@ -71,8 +69,12 @@ class WordEncoder:
         special = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         marks = re.escape("".join(c for c in MARKS if c not in special[1:]))
         # White space that could join with a line end: any but one space in front of something else.
-        self.spaced = re.compile(f".[{ANY_SPACE}]|^[^\\S ]|^[{ANY_SPACE}]$|^[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]", re.DOTALL).search
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        # How the tokenizer spells the bytes of a space and of letters, asked of itself.
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = [chr(c) for c in range(0x250) if re.fullmatch(f"[{LETTERS}]", chr(c))]
+        self.bytes = {ord(c): spell(c)[0][0] for c in [" ", *letters]}
+        whole = len(spell(" " + "".join(letters))) == 1
+        self.single = re.compile(f" ?[{LETTERS}]+" if whole else "(?!)").fullmatch
         # Letters up to a cut; punctuation up to one; anything up to a white space; the rest.
         self.parts = re.compile(
             f"[{SPACE}]*[{marks}]*[{LETTERS}]+(?=[{SPACE}{marks}])|[{SPACE}]*[{marks}]+(?=[{SPACE}])"
@@ -87,31 +89,25 @@ class WordEncoder:
         self.starts = self.stops = np.zeros(0, np.int64)
 
     def _learn(self, parts: list[str]) -> None:
-        """Append the ids of new parts; parts without inner white space as lines of a few texts."""
-        first, size = len(self.flat), np.zeros(len(parts), np.int64)
-        apart = np.array([self.spaced(p) is not None for p in parts], bool)
-        order, flat = [], [self.flat]
-        lines = np.flatnonzero(~apart)
-        for start in range(0, len(lines), LINES):
-            some = lines[start : start + LINES]
-            text = "\n".join([parts[i] for i in some.tolist()])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-            if len(ends) != len(some):  # line ends do not stand apart here
-                apart[some] = True
-                continue
-            size[some] = np.diff(ends, prepend=-1) - 1
-            order.append(some)
-            flat.append(ids[ids != self.line_end])
-        some = np.flatnonzero(apart)
-        for i, found in zip(some, self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)):
-            size[i] = len(found.ids)
-            flat.append(np.array(found.ids, np.int32))
-        order = np.concatenate([*order, some])
-        stops = np.zeros(len(parts), np.int64)
-        stops[order] = first + np.cumsum(size[order])
-        self.flat = np.concatenate(flat)
-        self.starts = np.concatenate([self.starts, stops - size])
+        """Append the ids of new parts.
+
+        A part of letters alone is one word already, so the model itself is asked; all other parts
+        go through the whole tokenizer.
+        """
+        single = [self.single(p) is not None for p in parts]
+        rest = iter(
+            self.tokenizer.encode_batch_fast(
+                [p for p, one in zip(parts, single) if not one], add_special_tokens=False
+            )
+        )
+        ask, table, ids, sizes = self.tokenizer.model.tokenize, self.bytes, [], []
+        for part, one in zip(parts, single):
+            found = [t.id for t in ask(part.translate(table))] if one else next(rest).ids
+            ids += found
+            sizes.append(len(found))
+        stops = len(self.flat) + np.cumsum(np.array(sizes, np.int64))
+        self.flat = np.concatenate([self.flat, np.array(ids, np.int32)])
+        self.starts = np.concatenate([self.starts, stops - sizes])
         self.stops = np.concatenate([self.stops, stops])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
