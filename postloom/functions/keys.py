@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -24,13 +25,34 @@ def _fold_udf():
     return F.arrow_udf(batches.fold_lists, "array<string>")
 
 
+def _latin() -> tuple[str, str, str]:
+    """Latin letters that decompose to one ASCII letter and marks, these letters, and a pattern of
+    what is neither ASCII, nor such a letter, nor a Latin letter that does not decompose at all."""
+    letters, bases, stable = "", "", ""
+    for c in map(chr, range(0xA1, 0x250)):
+        folded = unicodedata.normalize("NFKD", c)
+        if folded == c:
+            stable += c
+        elif len(folded) > 1 and folded[0] < "\x7f" and all(map(unicodedata.combining, folded[1:])):
+            letters, bases = letters + c, bases + folded[0]
+    codes = "".join(rf"\x{{{ord(c):x}}}" for c in stable)
+    return letters, bases, rf"[^\x00-\x7F{codes}]"
+
+
+LATIN, BASES, FOREIGN = _latin()
+
+
 def fold_accents(texts: Column) -> Column:
     """Array of texts in compatibility form without combining marks.
 
-    Pure ASCII rows have nothing to fold: they cross to Python as NULL and keep their own texts.
+    Accented Latin letters are replaced inside the JVM.  Only single texts with other characters
+    that may decompose cross to Python; the rest crosses as NULL and stays as it is.
     """
-    foreign = F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]"))
-    return F.coalesce(_fold_udf()(F.when(foreign, texts)), texts)
+    folded = F.transform(texts, lambda t: F.translate(t, LATIN, BASES))
+    crossing = F.transform(folded, lambda t: F.when(t.rlike(FOREIGN), t))
+    some = F.exists(folded, lambda t: t.rlike(FOREIGN))
+    other = _fold_udf()(F.when(some, crossing))
+    return F.coalesce(F.zip_with(other, folded, lambda a, b: F.coalesce(a, b)), folded)
 
 
 def _unifier(level: str, pattern: str, part: str):
