@@ -30,7 +30,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from postloom.llm.shared import free_name
 
@@ -39,11 +39,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 # Characters of text and of new words that are worked on at once; bounds of memory only.
-TEXT_CHARS = 2_000_000
-WORD_CHARS = 400_000
+TEXT_CHARS = 1_000_000
+WORD_CHARS = 200_000
 # Words up to this length are relaxed side by side, longer ones each with a queue of edges.
 LONG = 128
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -330,12 +330,17 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def with_ids(
-    docs: DataFrame, path: str | None = None, column: str = "piece_ids", text: str = "text"
+    docs: DataFrame, path: str | None = None, column: str = "piece_ids", text: str = "text",
+    decoded: str | None = None,
 ) -> DataFrame:
-    """``docs`` with the ids of each whole text in ``column`` (renamed if the name is taken)."""
+    """``docs`` with the ids of each whole text in ``column`` (renamed if the name is taken), and what
+    they decode to in ``decoded``, if given; both in one pass of Python."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path).state())
-    field = StructField(free_name(docs, column), ArrayType(IntegerType(), False))
-    schema, place = StructType([*docs.schema.fields, field]), docs.columns.index(text)
+    fields = [StructField(free_name(docs, column), ArrayType(IntegerType(), False))]
+    if decoded:
+        fields.append(StructField(free_name(docs, decoded), StringType()))
+    schema, place = StructType([*docs.schema.fields, *fields]), docs.columns.index(text)
+    names = [f.name for f in fields]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(*shared.value))
@@ -344,9 +349,10 @@ def with_ids(
             for some, rows in _encoded(encoder, batch.column(place)):
                 part = batch.slice(at, len(some))
                 at += len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, _lists(rows)], names=[*batch.schema.names, field.name]
-                )
+                new = [_lists(rows)]
+                if decoded:
+                    new.append(pa.array([encoder.decode(r) for r in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(add, schema)
 

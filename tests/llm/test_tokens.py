@@ -67,6 +67,8 @@ def test_pieces_equal_the_library(spark, pieces):
     assert both.columns == [*docs.columns, "piece_ids", "decoded"]
     for r in both.collect():
         assert list(r.piece_ids) == pieces.encode(r.text or "") and r.decoded == (r.text or "")
+    once = sentence_pieces.with_ids(docs, decoded="decoded")
+    assert sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
     assert all(r.same_text for r in sentence_pieces.summaries(docs).collect())
 
 
