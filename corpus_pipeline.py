@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the SentencePiece ids of their whole texts and what these decode to."""
-    return sentence_pieces.with_text(sentence_pieces.with_ids(docs))
+    return sentence_pieces.with_ids(docs, decoded="decoded")
 
 
 STAGES = [
