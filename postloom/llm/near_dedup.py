@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.components import components
-from postloom.llm.shared import materialize
+from postloom.llm.exact_dedup import digest
+from postloom.llm.shared import free_name, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -121,14 +122,14 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-FEATURES = "doc_id long, n_shingles long, same binary, bands array<long>"
+FEATURES = "doc_id long, sha binary, n_shingles long, same binary, bands array<long>"
 
 
 def features(size: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
 
-        def rows(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def rows(ids: list, shas: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             signatures = super_minhash(sets)
             keys = band_keys(signatures)
             lists = pa.ListArray.from_arrays(
@@ -137,24 +138,26 @@ def features(size: int):
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
+                    pa.array(shas, pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     lists,
                 ],
-                names=["doc_id", "n_shingles", "same", "bands"],
+                names=["doc_id", "sha", "n_shingles", "same", "bands"],
             )
 
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids, shas, sets, held = [], [], [], 0
+            for doc_id, text, sha in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ids.append(doc_id)
+                shas.append(sha)
                 sets.append(shingles(text.as_py(), size, hashes))
                 held += len(sets[-1])
                 if held >= CHUNK:
-                    yield rows(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield rows(ids, shas, sets)
+                    ids, shas, sets, held = [], [], [], 0
             if ids:
-                yield rows(ids, sets)
+                yield rows(ids, shas, sets)
 
     return of
 
@@ -228,7 +231,8 @@ class Search:
 
     def __init__(self, docs: DataFrame, size: int, threshold: int):
         self.docs, self.size, self.threshold = docs.select("doc_id", "text"), size, threshold
-        self.rows = materialize(self.docs.mapInArrow(features(size), FEATURES), "features")
+        keyed = self.docs.withColumn("sha", digest("text"))
+        self.rows = materialize(keyed.mapInArrow(features(size), FEATURES), "features")
         some = self.rows.where("n_shingles > 0 and doc_id is not null")
         self.classes = materialize(
             some.groupBy("same").agg(F.min("doc_id").alias("node")), "classes"
@@ -326,32 +330,37 @@ class Search:
         return components(found.toDF("a", "b").unionByName(more))
 
 
-def decide(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
-
-    Documents are linked when 100 * intersection >= ``threshold`` * union of their shingle sets;
-    the component is named by its smallest id, which is the document that is kept.
-    """
+def decide_rows(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """doc_id, sha, n_shingles, component_id: one row per row of ``docs``; ``sha`` is of the text."""
     search = Search(docs, size, threshold)
     found = search.components()
     # A row that repeats an id joins whatever any text of that id is in.
     of_class = search.classes.join(found, "node", "left").select(
         "same", F.coalesce("component", "node").alias("component_id")
     )
-    rows = search.rows.select("doc_id", "n_shingles", "same").join(of_class, "same", "left")
+    rows = search.rows.select("doc_id", "sha", "n_shingles", "same").join(of_class, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-    )
+    return rows.select("doc_id", "sha", "n_shingles", component.alias("component_id"))
+
+
+def decide(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+
+    Documents are linked when 100 * intersection >= ``threshold`` * union of their shingle sets;
+    the component is named by its smallest id, which is the document that is kept.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return decide_rows(docs, size, threshold).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, all columns unchanged."""
-    lost = decide(docs, size, threshold).where(~F.col("kept")).select(
-        F.col("doc_id").alias("lost_id")
-    )
-    lost = materialize(lost.distinct(), "near_copies")
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["lost_id"]), "left_anti")
+    """``docs`` with one document of each component, all columns unchanged.
+
+    Rows go by their id and text, so a copy takes no other row along that has its id, or none.
+    """
+    rows = decide_rows(docs, size, threshold).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    lost = materialize(rows.select("doc_id", "sha").distinct(), "near_copies")
+    sha = free_name(docs, "sha")
+    keyed = docs.withColumn(sha, digest("text"))
+    same_text = keyed["doc_id"].eqNullSafe(lost["doc_id"]) & (keyed[sha] == lost["sha"])
+    return keyed.join(lost, same_text, "left_anti").drop(sha)

@@ -109,6 +109,15 @@ def test_one_document_of_each_component_stays(spark):
     assert set(range(200, 240)) <= set(ids) and {3, 4, 5, 6} <= set(ids)
 
 
+def test_a_near_copy_takes_no_other_row_along(spark):
+    """A copy without an id, or with an id that another text has too, goes alone."""
+    a, b, c = (cases.prose(k, 60) for k in (71, 72, 73))
+    rows = [(1, a), (None, a), (None, b), (None, None), (5, a), (5, c), (6, a + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in near_dedup.drop_near_copies(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (None, None), (5, c)], key=str)
+
+
 def test_chains_far_from_both_centres_are_joined(spark):
     """Each text is near its neighbours only, so no centre of a bucket sees all of them."""
     words = [f"w{i}" for i in range(400)]
