@@ -13,7 +13,7 @@ components leave a block.  Hence every pair that shares a band ends in one compo
 
 Defined cases: a text with fewer words than a shingle is one shingle; NULL, empty and blank texts have
 none and are linked with nothing; rows that repeat an id are one document with the links of all its
-texts; a row with a NULL id takes the component of documents with an equal set, else NULL, and
+texts, which are compared each by itself; a row with a NULL id takes the component of documents with an equal set, else NULL, and
 links nothing; an empty table gives an empty result.
 """
 
@@ -206,7 +206,7 @@ def across(size: int, threshold: int):
         group = group.sort_values(["bucket", "block", "chunk"], kind="stable")
         keys = group[["bucket", "block", "chunk"]].to_numpy()
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        ids, comps = group["doc_id"].to_numpy(), group["component"].to_numpy()
+        ids, comps = group["class"].to_numpy(), group["component"].to_numpy()
         minor, texts = group["minor"].to_numpy(bool), group["text"].tolist()
         found = []
         for start, end in zip(starts, np.r_[starts[1:], len(group)]):
@@ -227,35 +227,46 @@ def across(size: int, threshold: int):
 
 
 class Search:
-    """Links between classes of equal sets, in rounds over the buckets with several classes."""
+    """Links between classes of equal sets, in rounds over the buckets with several classes.
+
+    A class is a number; its text is that of one row, which its id and a hash of the text name.
+    """
 
     def __init__(self, docs: DataFrame, size: int, threshold: int):
-        self.docs, self.size, self.threshold = docs.select("doc_id", "text"), size, threshold
-        keyed = self.docs.withColumn("sha", digest("text"))
+        keyed = docs.select("doc_id", "text", digest("text").alias("sha"))
+        self.docs = keyed.select("doc_id", "text", F.xxhash64("sha").alias("key"))
+        self.size, self.threshold = size, threshold
         self.rows = materialize(keyed.mapInArrow(features(size), FEATURES), "features")
         some = self.rows.where("n_shingles > 0 and doc_id is not null")
-        self.classes = materialize(
-            some.groupBy("same").agg(F.min("doc_id").alias("node")), "classes"
+        first = some.groupBy("same").agg(F.min(F.struct("doc_id", "sha")).alias("first"))
+        numbered = first.select(
+            "same",
+            F.monotonically_increasing_id().alias("class"),
+            F.col("first.doc_id").alias("node"),
+            F.xxhash64("first.sha").alias("key"),
         )
-        nodes = some.join(
-            self.classes.withColumnRenamed("same", "same_node"),
-            (F.col("same") == F.col("same_node")) & (F.col("doc_id") == F.col("node")),
-            "left_semi",
-        )
-        self.nodes = materialize(nodes.dropDuplicates(["same"]), "nodes")
-        slots = self.nodes.select(F.explode("bands").alias("bucket"), "doc_id", "n_shingles")
+        self.classes = materialize(numbered, "classes")
+        firsts = self.classes.select(F.col("same").alias("same_node"), "node", "class")
+        nodes = some.join(firsts, (F.col("same") == F.col("same_node")) & (F.col("doc_id") == F.col("node")))
+        self.nodes = materialize(nodes.dropDuplicates(["class"]).select("class", "n_shingles", "bands"), "nodes")
+        slots = self.nodes.select(F.explode("bands").alias("bucket"), "class", "n_shingles")
         shared = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         self.slots = materialize(slots.join(shared.select("bucket"), "bucket", "left_semi"), "buckets")
 
+    def placed(self, table: DataFrame, column: str) -> DataFrame:
+        """``table`` with the id and hash that name the text of the class in ``column``."""
+        at = self.classes.select(F.col("class").alias(column), F.col("node").alias("doc_id"), "key")
+        return table.join(at, column)
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The written links among the pairs: both whole texts meet and are compared."""
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(self.placed(pairs, "b"), "pairs")
         few = pairs.count() <= BROADCAST_PAIRS
         small = F.broadcast if few else lambda table: table
-        right = self.docs.join(small(pairs.withColumnRenamed("b", "doc_id")), "doc_id")
-        right = right.select("a", F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        left = self.docs.join(small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id")
-        left = left.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+        right = self.docs.join(small(pairs), ["doc_id", "key"])
+        right = right.select("a", "b", F.col("text").alias("text_b"))
+        left = self.docs.join(small(self.placed(pairs.select("a").distinct(), "a")), ["doc_id", "key"])
+        left = left.select("a", F.col("text").alias("text_a"))
         both = right.join(left, "a").select("a", "b", "text_a", "text_b")
         links = both.mapInArrow(linked(self.size, self.threshold), "a long, b long")
         return materialize(links, "links")
@@ -266,8 +277,8 @@ class Search:
         Members outside the largest component of a bucket are its minor ones.  Each member is in
         one block; the minor ones, in chunks, meet every block.
         """
-        at = self.slots.join(found, F.col("doc_id") == F.col("node"), "left").select(
-            "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
+        at = self.slots.join(found, F.col("class") == F.col("node"), "left").select(
+            "bucket", "class", "n_shingles", F.coalesce("component", "class").alias("component")
         )
         by_component = at.groupBy("bucket", "component").agg(
             F.count("*").alias("n"), F.sum("n_shingles").alias("n_shingles")
@@ -284,7 +295,7 @@ class Search:
             F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
             F.ceil((F.col("all") - F.col("most.n_shingles")) / BLOCK).cast("int").alias("chunks"),
         )
-        dealt = at.join(shares, "bucket").withColumn("hash", F.xxhash64("doc_id"))
+        dealt = at.join(shares, "bucket").withColumn("hash", F.xxhash64("class"))
 
         def all_of(n: str):
             return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -292,7 +303,7 @@ class Search:
         def one_of(n: str):
             return F.pmod(F.col("hash"), F.col(n)).cast("int")
 
-        columns = ["bucket", "doc_id", "component"]
+        columns = ["bucket", "class", "component"]
         every = dealt.select(*columns, one_of("blocks").alias("block"), all_of("chunks").alias("chunk"), F.lit(False).alias("minor"))
         minor = dealt.where("component != largest").select(
             *columns, all_of("blocks").alias("block"), one_of("chunks").alias("chunk"), F.lit(True).alias("minor")
@@ -300,13 +311,13 @@ class Search:
         return materialize(every.unionByName(minor), "open")
 
     def with_centres(self, slots: DataFrame) -> DataFrame:
-        """Every member of a bucket with two of them: the smallest id and the smallest hash of ids."""
+        """Every member of a bucket with two of them: the smallest and the one with the smallest hash."""
         centres = slots.groupBy("bucket").agg(
-            F.array(F.min("doc_id"), F.min_by("doc_id", F.xxhash64("doc_id"))).alias("centres")
+            F.array(F.min("class"), F.min_by("class", F.xxhash64("class"))).alias("centres")
         )
         return (
             slots.join(centres, "bucket")
-            .select(F.explode(F.array_distinct("centres")).alias("a"), F.col("doc_id").alias("b"))
+            .select(F.explode(F.array_distinct("centres")).alias("a"), F.col("class").alias("b"))
             .where("a != b")
             .distinct()
         )
@@ -315,7 +326,7 @@ class Search:
         """The written links that join components within a bucket."""
         rows = slots.count()
         few = F.broadcast if rows <= BROADCAST_PAIRS else lambda table: table
-        told = self.docs.join(few(slots), "doc_id").withColumn(
+        told = self.docs.join(few(self.placed(slots, "class")), ["doc_id", "key"]).withColumn(
             "group", F.pmod(F.xxhash64("bucket", "block", "chunk"), F.lit(rows // GROUP + 1))
         )
         links = told.groupBy("group").applyInPandas(
@@ -324,41 +335,69 @@ class Search:
         return materialize(links, "links")
 
     def components(self) -> DataFrame:
-        """(node, component) of every class that is linked with another."""
+        """(node_class, component) of every class that is linked with another."""
         found = components(self.confirmed(self.with_centres(self.slots)))
         more = self.links_across(self.open_slots(found))
-        return components(found.toDF("a", "b").unionByName(more))
+        return components(found.toDF("a", "b").unionByName(more)).toDF("node_class", "component")
 
 
 def decide_rows(docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """doc_id, sha, n_shingles, component_id: one row per row of ``docs``; ``sha`` is of the text."""
+    """doc_id, sha, n_shingles, component_id, text_component: one row per row of ``docs``.
+
+    ``text_component`` is the smallest id with a text that is linked with the row's own, directly or
+    over other texts; ``component_id`` also follows the other texts of an id.
+    """
     search = Search(docs, size, threshold)
     found = search.components()
-    # A row that repeats an id joins whatever any text of that id is in.
-    of_class = search.classes.join(found, "node", "left").select(
-        "same", F.coalesce("component", "node").alias("component_id")
+    of_class = search.classes.join(found, F.col("class") == F.col("node_class"), "left").select(
+        "same", "node", F.coalesce("component", "class").alias("texts")
+    )
+    of_class = materialize(of_class, "components")
+    rows = search.rows.select("doc_id", "sha", "n_shingles", "same")
+    some, blank = rows.where("n_shingles > 0"), rows.where("n_shingles = 0").drop("same")
+    held = some.where("doc_id is not null").join(of_class, "same").select("doc_id", "texts").distinct()
+    held = materialize(held, "held")
+    # The texts of one id are one document: their components are linked.
+    least = held.groupBy("doc_id").agg(F.min("texts").alias("b"), F.max("texts").alias("most")).where("b != most")
+    joined = components(held.join(least, "doc_id").select(F.col("texts").alias("a"), "b"))
+    named = of_class.groupBy("texts").agg(F.min("node").alias("text_component"))
+    whole = named.join(joined, F.col("texts") == F.col("node"), "left").select(
+        "texts", "text_component", F.coalesce("component", "texts").alias("whole")
+    )
+    whole = materialize(whole, "whole")
+    names = whole.groupBy("whole").agg(F.min("text_component").alias("component_id"))
+    names = materialize(whole.join(names, "whole").drop("whole"), "names")
+    columns = ["doc_id", "sha", "n_shingles", "component_id", "text_component"]
+    some = some.join(of_class.join(names, "texts").drop("texts", "node"), "same", "left").select(*columns)
+    of_id = held.join(names, "texts").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    blank = blank.join(of_id, "doc_id", "left").select(
+        "doc_id",
+        "sha",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.col("doc_id").alias("text_component"),
     )
-    rows = search.rows.select("doc_id", "sha", "n_shingles", "same").join(of_class, "same", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "sha", "n_shingles", component.alias("component_id"))
+    return some.unionByName(blank)
 
 
 def decide(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Documents are linked when 100 * intersection >= ``threshold`` * union of their shingle sets;
-    the component is named by its smallest id, which is the document that is kept.
+    the component is named by its smallest id, which is the document that is kept.  All rows of an
+    id are one document.
     """
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     return decide_rows(docs, size, threshold).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, all columns unchanged.
+    """``docs`` without the texts that are linked with a text of a smaller id, all columns unchanged.
 
-    Rows go by their id and text, so a copy takes no other row along that has its id, or none.
+    Rows go by their id and text: a copy takes no other row along that has its id, or none, and a
+    text is only dropped where one that it is linked with by texts alone stays.
     """
-    rows = decide_rows(docs, size, threshold).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = decide_rows(docs, size, threshold).where(~F.col("doc_id").eqNullSafe(F.col("text_component")))
     lost = materialize(rows.select("doc_id", "sha").distinct(), "near_copies")
     sha = free_name(docs, "sha")
     keyed = docs.withColumn(sha, digest("text"))

@@ -118,6 +118,18 @@ def test_a_near_copy_takes_no_other_row_along(spark):
     assert sorted(kept, key=str) == sorted([(1, a), (None, b), (None, None), (5, c)], key=str)
 
 
+def test_the_texts_of_an_id_link_their_components(spark):
+    a, b, c, d = (cases.prose(k, 60) for k in (81, 82, 83, 84))
+    near = b.split()
+    near[30] = "changed"
+    rows = [(1, a), (5, a), (5, b), (9, b), (5, c), (7, " ".join(near)), (9, ""), (20, d), (20, c + " end"), (30, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_dedup.decide(docs).collect()}
+    assert got == set(brute(rows, 5, 80).items()) == {(1, 1), (5, 1), (7, 1), (9, 1), (20, 1), (30, 30)}
+    kept = sorted(tuple(r) for r in near_dedup.drop_near_copies(docs).collect())
+    assert kept == sorted([(1, a), (5, b), (5, c), (9, ""), (20, d), (30, "")])
+
+
 def test_chains_far_from_both_centres_are_joined(spark):
     """Each text is near its neighbours only, so no centre of a bucket sees all of them."""
     words = [f"w{i}" for i in range(400)]
