@@ -23,6 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.llm.exact_dedup import digest
 from postloom.llm.shared import free_name, materialize, word_count
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,9 +38,10 @@ RANKED = 20_000
 
 
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size and a seeded draw in [0, 1) of every document."""
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    return docs.select("doc_id", "source", word_count("text").alias("size"), draw.alias("draw"))
+    """doc_id, source, digest of the text, size and a seeded draw in [0, 1) of every document."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "sha"), 11) / F.lit(float(1 << 53))
+    keyed = docs.select("doc_id", "source", digest("text").alias("sha"), word_count("text").alias("size"))
+    return keyed.withColumn("draw", draw)
 
 
 def targets(counts: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -147,17 +149,24 @@ def plan(counts: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     )
 
 
-def decide(
-    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 0, ranked: int = RANKED
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``."""
+KEY = ("doc_id", "source", "sha")
+
+
+def decide_rows(docs: DataFrame, weights, share: float, seed: int, ranked: int) -> DataFrame:
+    """doc_id, source, sha, size, source_size, target, rows, passes, ones: equal rows as one.
+
+    Each of the ``rows`` is taken ``passes`` times, and ``ones`` of them once more.
+    """
     docs = materialize(sized(docs, seed), "sized")
     counts = docs.groupBy("source", "size").agg(F.count("*").alias("n"))
     plans = materialize(plan(counts, weights, share), "mix")
-    planned = docs.join(
+    equal = docs.groupBy(*KEY, "size", "draw").agg(F.count("*").alias("rows"))
+    planned = equal.join(
         plans,
-        docs["source"].eqNullSafe(plans["source"]) & (docs["size"] == plans["size"]),
-    ).select("doc_id", docs["source"], docs["size"], "draw", "source_size", "target", "n", "passes", "extra")
+        equal["source"].eqNullSafe(plans["source"]) & (equal["size"] == plans["size"]),
+    ).select(
+        "doc_id", equal["source"], "sha", equal["size"], "draw", "rows", "source_size", "target", "n", "passes", "extra"
+    )
 
     # Documents of one size are ranked by their draw: in slices of the draw, so that a size held
     # by very many documents is not ranked in one task.
@@ -165,43 +174,79 @@ def decide(
     sliced = planned.withColumn("slice", F.floor(F.col("draw") * slices))
     choosing = sliced.where("extra > 0 and extra < n")
     key = ["source", "size", "slice"]
-    in_slice = choosing.groupBy(*key).agg(F.count("*").alias("rows"))
+    in_slice = choosing.groupBy(*key).agg(F.sum("rows").alias("held"))
     earlier = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = in_slice.select(
-        *key, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset")
+        *key, F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset")
     )
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("draw", "doc_id"))
-    ranks = choosing.withColumn("rank", rank).alias("c")
+    until = Window.partitionBy(*key).orderBy("draw", "doc_id", "sha").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    ranks = choosing.withColumn("rank", F.sum("rows").over(until)).alias("c")
+    left = F.col("extra") - F.col("offset") - F.col("rank") + F.col("rows")
     chosen = ranks.join(
         offsets.alias("o"),
         F.col("c.source").eqNullSafe(F.col("o.source"))
         & (F.col("c.size") == F.col("o.size"))
         & (F.col("c.slice") == F.col("o.slice")),
-    ).select("c.*", (F.col("offset") + F.col("rank") <= F.col("extra")).cast("long").alias("one"))
+    ).select("c.*", F.greatest(F.lit(0), F.least("rows", left)).cast("long").alias("ones"))
     settled = sliced.where("not (extra > 0 and extra < n)").withColumn(
-        "one", (F.col("extra") > 0).cast("long")
-    )
-    columns = ["doc_id", "source", "size", "source_size", "target"]
-    copies = F.when(F.col("size") > 0, F.col("passes") + F.col("one")).otherwise(F.lit(0))
-    return (
-        chosen.select(*columns, copies.alias("copies"))
-        .unionByName(settled.select(*columns, copies.alias("copies")))
-        .withColumn("taken", F.col("copies") * F.col("size"))
+        "ones", F.when(F.col("extra") > 0, F.col("rows")).otherwise(F.lit(0)).cast("long")
     )
+    columns = [*KEY, "size", "source_size", "target", "rows"]
 
+    def taken(column: str):
+        return F.when(F.col("size") > 0, F.col(column)).otherwise(F.lit(0)).cast("long").alias(column)
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
+    columns += [taken("passes"), taken("ones")]
+    return chosen.select(*columns).unionByName(settled.select(*columns))
+
+
+def decide(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 0, ranked: int = RANKED
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``."""
+    decided = decide_rows(docs, weights, share, seed, ranked)
+    each = decided.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    copies = F.col("passes") + (F.col("row") <= F.col("ones")).cast("long")
+    return each.select(
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies")
+    ).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mix(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 0, ranked: int = RANKED
+) -> DataFrame:
     """``docs`` as the mix takes them: a document taken twice is two rows, columns unchanged.
 
-    Rows that repeat an id are all taken as often as the one of them that is taken most.
+    Every row is taken by its own copies.  Of rows equal in id, source and text some may be taken once
+    more than the others; which ones, the other columns decide.
     """
-    decided = decide(docs, **settings).where("copies > 0")
-    wanted = materialize(
-        decided.groupBy("doc_id").agg(F.max("copies").alias("copies")), "taken"
-    )
-    times = free_name(docs, "copies")
-    wanted = wanted.select(F.col("doc_id").alias("taken_id"), F.col("copies").alias(times))
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["taken_id"])).drop("taken_id")
-    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)
+    decided = decide_rows(docs, weights, share, seed, ranked).where("passes + ones > 0")
+    wanted = materialize(decided.select(*KEY, "rows", "passes", "ones"), "taken")
+    sha, times, place = (free_name(docs, name) for name in ("sha", "copies", "place"))
+    keyed = docs.withColumn(sha, digest("text"))
+
+    def taken(some: DataFrame) -> DataFrame:
+        some = some.select(
+            F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), F.col("sha").alias("taken_sha"),
+            F.struct("passes", "ones").alias(times),
+        )
+        same_row = (
+            keyed["doc_id"].eqNullSafe(some["taken_id"])
+            & keyed["source"].eqNullSafe(some["taken_source"])
+            & (keyed[sha] == some["taken_sha"])
+        )
+        return keyed.join(some, same_row).drop("taken_id", "taken_source", "taken_sha")
+
+    # At most one group of equal rows for each source and size is taken unevenly; it alone is ranked.
+    uneven = (F.col("ones") > 0) & (F.col("ones") < F.col("rows"))
+    equal_rows = Window.partitionBy("doc_id", "source", sha).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    alike = taken(wanted.where(~uneven)).withColumn(place, F.lit(1))
+    apart = taken(materialize(wanted.where(uneven), "uneven")).withColumn(place, F.row_number().over(equal_rows))
+    one = (F.col(place) <= F.col(f"{times}.ones")).cast("long")
+    repeated = alike.unionByName(apart).withColumn(times, F.col(f"{times}.passes") + one)
+    repeated = repeated.where(F.col(times) > 0).drop(sha, place)
+    return repeated.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
@@ -81,6 +81,34 @@ def test_mix_repeats_documents(spark):
     assert got == want
 
 
+def test_rows_that_share_an_id_are_taken_by_their_own_copies(spark):
+    """NULL ids over all sources and sizes, ids with several texts, and equal rows taken unevenly."""
+    rows = [(None, cases.prose(300 + k, 3 + k % 9), f"s{k % 3}", k) for k in range(60)]
+    rows += [(k % 4, cases.prose(400 + k, 2 + k % 5), f"s{k % 3}", k) for k in range(40)]
+    rows += [(7, "same five words in here", f"s{k % 3}", k) for k in range(21)] + [(7, "", "s0", 1), (None, None, "s1", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    decided = mixing.decide(docs).collect()
+    assert len(decided) == len(rows)
+    copies, got, words = Counter(), Counter(), Counter()
+    for r in decided:
+        copies[r.doc_id, r.source, r.size] += r.copies
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        got[r.doc_id, r.source, len((r.text or "").split())] += 1
+        words[r.source] += len(r.text.split())
+    assert got == +copies
+    for r in decided:
+        assert abs(words[r.source] - r.target) <= 1
+    held = Counter((None if r[0] is None else r[0], r[1], r[2], r[3]) for r in rows)
+    assert all(n <= 2 * held[key] for key, n in Counter(tuple(r) for r in mixed.collect()).items())
+
+
+def test_the_text_is_part_of_the_draw(spark):
+    docs = spark.createDataFrame([(None, f"text {k}", "s") for k in range(50)], "doc_id long, text string, source string")
+    assert mixing.sized(docs).select("draw").distinct().count() == 50
+
+
 def test_empty_tables(spark):
     none = cases.empty(cases.documents(spark))
     assert mixing.decide(none).collect() == [] and mixing.mix(none).collect() == []
