@@ -2,12 +2,15 @@
 
 A store keeps its rows in buckets of their link.  A run writes new files for the buckets its batch
 touches and then, as its last step, a pointer that names the folder of every bucket; a store is
-read through its latest pointer.  Folders are never changed, so a run that fails leaves the store
-as it was, and what other buckets hold is neither read nor written.
+read through its latest pointer.  Folders are never changed: every run writes to one of its own, and
+a version that exists is stepped over.  So a run that fails leaves the store as it was, and what
+other buckets hold is neither read nor written.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,14 @@ def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _free_version(spark: SparkSession, path: str, version: int) -> int:
+    """The first version from ``version`` on that is above all pointers, also unfinished ones."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return max([version, *(int(n[2:]) + 1 for n in names if n.startswith("v=") and n[2:].isdigit())])
+
+
 def pointer(spark: SparkSession, path: str) -> dict[int, str]:
     """Folder of each bucket in the latest version; empty for a store without any."""
     pointers = _read_if_there(spark, f"{path}/pointers")
@@ -64,7 +75,7 @@ def upsert_store(
 ) -> dict[str, int]:
     """Merge a batch, of unique links, into the store as a new version; returns what it changed.
 
-    ``empty`` gives the columns of a store that has no version yet.
+    The version is ``version``, or the next above all that exist.  ``empty`` gives the columns of a store that has no version yet.
     """
     check_unique(batch)
     folders = pointer(spark, path)
@@ -78,19 +89,20 @@ def upsert_store(
     counted = merged.observe(
         seen, F.count_if("__is").alias("affected"), F.count_if(F.col("__is") & ~F.col("__was")).alias("inserted")
     ).drop("__was", "__is")
-    folder = f"{path}/data/v={version}"
+    version = _free_version(spark, path, version)
+    folder = f"{path}/data/v={version}-{uuid.uuid4().hex}"
     (
         counted.withColumn("bucket", where)
         .repartition("bucket")
         .sortWithinPartitions("bucket", F.desc("score"))
-        .write.mode("overwrite")
+        .write.mode("errorifexists")
         .partitionBy("bucket")
         .parquet(folder)
     )
     folders |= {b: f"{folder}/bucket={b}" for b in touched}
     counts = seen.get if touched else {"affected": 0, "inserted": 0}
     rows = spark.createDataFrame(sorted(folders.items()), "bucket int, folder string")
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/pointers/v={version}")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/pointers/v={version}")
     return {**counts, "updated": counts["affected"] - counts["inserted"]}
 
 

@@ -171,6 +171,20 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     assert stored.pointer(spark, store) == second
 
 
+def test_two_runs_with_one_version_lose_nothing(spark, tmp_path):
+    store = str(tmp_path / "store")
+    many = postings(spark, *[{"link": f"https://vagas.example.org/oferta/{i}", "title": f"Vaga {i}"} for i in range(20)])
+    payloads = scoring.build_payloads(many).withColumn("id", F.col("seq")).drop("seq")
+    empty = state.payload_defaults(payloads, NOW).withColumn("created_at", F.col("updated_at")).limit(0)
+    stored.upsert_store(spark, store, payloads, empty, NOW, 5, 8)
+    (tmp_path / "store" / "pointers" / "v=6").mkdir()  # a pointer whose run did not finish
+    for version in (5, 1):
+        told = stored.upsert_store(spark, store, payloads.filter("id = 3"), empty, NOW, version, 8)
+        assert told == {"affected": 1, "inserted": 0, "updated": 1}
+    after = {r.id: r.seen_count for r in stored.current_store(spark, store).collect()}
+    assert len(after) == 20 and after.pop(3) == 3 and set(after.values()) == {1}
+
+
 def test_mark_seen_counts_every_mark(spark):
     later = NOW + dt.timedelta(days=1)
     ids = spark.createDataFrame([(0,), (0,)], "id bigint")
