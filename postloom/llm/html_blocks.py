@@ -24,10 +24,17 @@ WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript title iframe object svg math".split())
+CODE = frozenset("script style".split())
+HIDDEN = CODE | frozenset("template title iframe".split())
+# These stand for what they hold, so paths leave them out.
+TRANSPARENT = frozenset("noscript object".split())
+# Drawings and formulas: only their elements may close themselves by a slash.
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle mfenced "
+    "mmultiscripts mprescripts mpadded mphantom mspace merror menclose semantics annotation".split()
 )
 CLOSED_BY_BLOCK = frozenset(("p",))
 CLOSED_BY_ITSELF = frozenset("li dt dd tr td th option p".split())
@@ -50,6 +57,22 @@ def names_of(tag: str, rest: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+EDGES = {tag: re.compile(rf"<(/?){tag}\b[^>]*>", re.I) for tag in HIDDEN}
+
+
+def end_of(tag: str, page: str, at: int) -> int | None:
+    """Where a hidden element that starts before ``at`` is over; templates may hold templates."""
+    depth = 1
+    for edge in EDGES[tag].finditer(page, at):
+        if edge[1]:
+            depth -= 1
+        elif tag == "template":
+            depth += 1
+        if not depth:
+            return edge.end()
+    return None
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks in page order: character references decoded, white space as one space, trimmed."""
     page = page or ""
@@ -64,7 +87,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                outer = tuple(e for e in stack if e[0] not in INLINE)
+                outer = tuple(e for e in stack if e[0] not in INLINE and e[0] not in TRANSPARENT)
                 if linked * 2 > len(text):
                     outer += (("a",),)
                 found.append(Block(outer, text, min(linked, len(text))))
@@ -105,9 +128,12 @@ def blocks_of(page: str | None) -> list[Block]:
                 close(place)
             continue
         if tag in HIDDEN and not token["rest"].rstrip().endswith("/"):
-            # Code and other text that is not shown: up to its own end tag, whatever it contains.
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            # Code and other text that is not shown: up to its own end tag, whatever it contains.  A page
+            # without that tag goes on behind the start tag, but for code, which is never text.
+            end = end_of(tag, page, at)
+            at = end if end is not None else len(page) if tag in CODE else at
+            continue
+        if token["rest"].endswith("/") and (tag in FOREIGN or any(e[0] in FOREIGN for e in stack)):
             continue
         if tag in VOID:
             parts.append(" ")

@@ -81,6 +81,34 @@ def test_pages(spark):
     assert html_labeller.extract(cases.empty(df)).collect() == []
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "noscript", "iframe", "template", "title"])
+def test_an_element_without_an_end_tag_does_not_cut_the_page(tag):
+    found = [b.text for b in html_blocks.blocks_of(f"<p>before</p><{tag}><p>one</p><p>two</p>")]
+    assert found == ["before", "one", "two"]
+
+
+def test_only_code_and_hidden_text_is_left_out():
+    def texts(page):
+        return [b.text for b in html_blocks.blocks_of(page)]
+
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>") == ["Let x=1 be"]
+    assert texts("<noscript><p>a</p><noscript>b</noscript><p>c</p></noscript>d") == ["a", "b", "c", "d"]
+    assert texts("<object data=x><object><p>a</p></object><p>b</p></object><p>c</p>") == ["a", "b", "c"]
+    assert texts("<svg><path d='M0'/><text>label</text></svg><svg/><p>a</p>") == ["label", "a"]
+    assert texts("<template>x<template>y</template>z</template><p>a</p><script>b<p>c") == ["a"]
+    paths = [b.path for b in html_blocks.blocks_of("<noscript><p>a</p></noscript>")]
+    assert paths == [(("p",),)]
+
+
+def test_articles_within_other_elements_are_read(spark):
+    long = "Paragraph of the article, also with several words that go on for a while."
+    wrapped = [f"<{t}><p>{long}</p></{t}>" for t in ("noscript", "object")] + [f"<p>{long} <math><mi>x</mi></math></p>"]
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article><h1>Title here</h1><p>{long}</p>%s<p>{long}</p></article></body></html>"
+    rows = [(k, "u", page % w) for k, w in enumerate(wrapped)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.text.count("Paragraph") for r in html_labeller.extract(df).orderBy("page_id").collect()] == [3, 3, 3]
+
+
 def test_articles_of_the_driver_pages(spark):
     pages = table(spark, FOLDER, "pages")
     html = {r.page_id: r.html for r in pages.collect()}
