@@ -18,6 +18,7 @@ from postloom.llm import (
     sentence_pieces,
     token_files,
     topk,
+    toxicity,
 )
 from postloom.llm.shared import documents, materialize, table
 from postloom.session import new_folder
@@ -138,6 +139,12 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.summaries(documents(spark, sf_dir))
 
 
+
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -151,6 +158,7 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_exact_dedup,
         op10_sentence_pieces,
+        op11_toxicity,
     )
 }
 ORACLES: dict[str, str] = {
