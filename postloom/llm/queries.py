@@ -19,6 +19,7 @@ from postloom.llm import (
     token_files,
     topk,
     toxicity,
+    whitening,
 )
 from postloom.llm.shared import documents, materialize, table
 from postloom.session import new_folder
@@ -145,6 +146,11 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -159,6 +165,7 @@ QUERIES: dict[str, Query] = {
         op9_exact_dedup,
         op10_sentence_pieces,
         op11_toxicity,
+        op12_whitening,
     )
 }
 ORACLES: dict[str, str] = {
