@@ -14,6 +14,7 @@ from postloom.llm import (
     licenses,
     mixing,
     near_dedup,
+    prefix_trie,
     quality,
     sentence_pieces,
     token_files,
@@ -151,6 +152,76 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt so that neighbours share their first turns."""
+    rows = materialize(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie(prefix_trie.rebuilt(rows), rows.select("conv_id")).drop("entered_at", "left_at")
+
+
+# crc32 is written out bit by bit; a node is found by the digests of its turns, joined in order.
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT conv_id, digest, bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS depth
+  FROM turns
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+           lambda crc, b: list_reduce(
+             list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, bit: xor(x // 2, (x % 2) * 3988292384)
+           )
+         )) % 9 AS shared
+  FROM (SELECT DISTINCT conv_id FROM placed)
+), heads AS (
+  SELECT c.conv_id, p.depth, p.digest, p.bytes
+  FROM convs c JOIN placed p ON p.conv_id = c.base AND p.depth <= c.shared
+), taken AS (
+  SELECT c.conv_id, c.shared, count(h.depth) AS n
+  FROM convs c LEFT JOIN heads h ON h.conv_id = c.conv_id GROUP BY ALL
+), whole AS (
+  SELECT * FROM heads
+  UNION ALL
+  SELECT p.conv_id, t.n + p.depth - t.shared, p.digest, p.bytes
+  FROM placed p JOIN taken t ON t.conv_id = p.conv_id AND p.depth > t.shared
+), prefixes AS (
+  SELECT conv_id, depth, bytes,
+         sha256(string_agg(digest, '' ORDER BY depth) OVER upto) AS prefix,
+         sha256(string_agg(digest, '' ORDER BY depth) OVER earlier) AS parent
+  FROM whole
+  WINDOW upto AS (PARTITION BY conv_id ORDER BY depth),
+         earlier AS (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NULL FROM convs
+), keyed AS (
+  SELECT conv_id, depth, bytes, prefix, CASE WHEN depth = 1 THEN '' ELSE parent END AS parent,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS at_end
+  FROM prefixes
+), nodes AS (
+  SELECT depth, prefix, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256
+  FROM keyed GROUP BY depth, prefix
+), tree AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+         (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.parent = n.prefix) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.parent
+), subtrees AS (
+  SELECT k.depth, k.prefix, sum(CASE WHEN t.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+         sum((t.n_convs - 1) * t.bytes) AS saved_tokens
+  FROM tree t JOIN keyed k ON k.conv_id = t.conv_id AND k.depth <= t.depth
+  GROUP BY k.depth, k.prefix
+)
+SELECT t.conv_id, t.depth, t.parent_conv_id, t.n_convs, t.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, t.ends_sha256
+FROM tree t JOIN subtrees s ON s.depth = t.depth AND s.prefix = t.prefix
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -166,10 +237,12 @@ QUERIES: dict[str, Query] = {
         op10_sentence_pieces,
         op11_toxicity,
         op12_whitening,
+        op13_prefix_trie,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
