@@ -39,7 +39,7 @@ from postloom.llm.shared import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE = 3000
+SAMPLE = 2000
 LONGEST = 200_000
 THRESHOLD = 0.7
 # Embeddings: numbers of a word, lengths of its beginnings, training documents an entry must be in.
@@ -164,6 +164,17 @@ def largest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, some
 
 
+def largest_values(values: np.ndarray) -> np.ndarray:
+    """The KEPT largest values of each column, falling; the values of :func:`largest` alone."""
+    n = len(values)
+    if n > KEPT:
+        values = np.partition(values, n - KEPT, axis=0)[n - KEPT :]
+    found = -np.sort(-values, axis=0)
+    if n < KEPT:
+        found = np.pad(found, ((0, KEPT - n), (0, 0)), constant_values=-np.inf)
+    return found
+
+
 class Reader(dict):
     """Numbers of words and their filter projections, for a bounded number of words."""
 
@@ -185,10 +196,10 @@ class Reader(dict):
         return number
 
     def learn(self) -> None:
-        rows, flat, starts = self.net.rows, [], []
+        row, flat, starts = self.net.rows.get, [], []
         for word in self.fresh:
             starts.append(len(flat))
-            flat += [rows[h] for h in entries(word) if h in rows] or [0]
+            flat += [k for k in map(row, entries(word)) if k] or [0]
         if starts:
             while len(self) >= len(self.at):
                 self.at = np.concatenate([self.at, np.zeros_like(self.at)])
@@ -220,26 +231,34 @@ class Reader(dict):
                     found = answers(self.at, width, own)
                     if best[k] is not None:
                         found = np.concatenate([best[k], found])
-                    best[k] = largest(found)[0]
+                    best[k] = largest_values(found)
             earlier = joined[-(max(WIDTHS) - 1) :]
-        best[0] = largest(answers(self.at, 1, seen))[0]
+        best[0] = largest_values(answers(self.at, 1, seen))
         pooled = np.stack([*best])
         pooled = np.maximum(pooled + net.shifts.reshape(len(WIDTHS), 1, FILTERS), 0)
         return net.bias + float(pooled.ravel() @ net.last), language(counts)
 
 
-def class_ratios(documents: list[set[int]], labels: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
-    """Entries of enough documents, and the shrunk log ratio of label 1 of each; row 0 is no entry."""
-    counts: dict[int, list[int]] = {}
-    for found, label in zip(documents, labels):
-        for h in found:
-            counts.setdefault(h, [0, 0])[label] += 1
-    known = sorted(h for h, n in counts.items() if sum(n) >= LEAST_DOCUMENTS)
+def class_ratios(documents: list[np.ndarray], labels: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
+    """Entries of enough documents, and the shrunk log ratio of label 1 of each; row 0 is no entry.
+
+    ``documents``: the different entries of each document.
+    """
+    found = [
+        np.unique(np.concatenate([d for d, y in zip(documents, labels) if y == label]), return_counts=True)
+        for label in (0, 1)
+    ]
+    known = np.union1d(found[0][0], found[1][0])
+    counts = np.zeros((2, len(known)), np.int64)
+    for label, (own, times) in enumerate(found):
+        counts[label, np.searchsorted(known, own)] = times
+    enough = counts.sum(axis=0) >= LEAST_DOCUMENTS
+    known, counts = known[enough], counts[:, enough]
+    total, hits = np.append(0, counts.sum(axis=0)), np.append(0, counts[1])
     share, prior = labels.mean(), 2.0
-    both = np.array([[0, 0], *(counts[h] for h in known)], float)
-    chance = (both[:, 1] + prior * share) / (both.sum(1) + prior)
+    chance = (hits + prior * share) / (total + prior)
     ratios = np.log(chance / (1 - chance)) - np.log(share / (1 - share))
-    return {h: k + 1 for k, h in enumerate(known)}, ratios
+    return {h: k + 1 for k, h in enumerate(known.tolist())}, ratios
 
 
 def start(rows: dict[int, int], ratios: np.ndarray, seed: int = 0) -> Net:
@@ -261,6 +280,11 @@ def start(rows: dict[int, int], ratios: np.ndarray, seed: int = 0) -> Net:
     return Net(rows, embeddings, filters, shifts, last.ravel(), bias=-1.0)
 
 
+def different_entries(text: str) -> np.ndarray:
+    words = {w for some in words_of(text) for w in some}
+    return np.unique(np.array([h for w in words for h in entries(w)], np.uint64))
+
+
 @dataclass
 class Example:
     """A text as different words: entries of each, and the words in the order of the text."""
@@ -277,12 +301,12 @@ def example(text: str, rows: dict[int, int]) -> Example:
     flat, starts = [0], [0]
     for word in numbers:
         starts.append(len(flat))
-        flat += [rows[h] for h in entries(word) if h in rows] or [0]
+        flat += [k for k in map(rows.get, entries(word)) if k] or [0]
     counts = np.zeros(1 << len(LANGUAGES), np.int64)
     words = list(numbers)
     for i in ids:
         counts[TONGUES.get(words[i - 1], 0)] += 1
-    return Example(np.array(flat), np.array(starts), np.array(ids, np.int64), language(counts))
+    return Example(np.array(flat, np.int32), np.array(starts, np.int32), np.array(ids, np.int32), language(counts))
 
 
 def forward(net: Net, one: Example):
@@ -387,11 +411,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None)
     if not len(texts) or len({*labels[held]}) < 2 or len({*labels[~held]}) < 2:
         share = float(np.average(labels, weights=weights)) if len(texts) else 0.5
         return constant(min(max(share, 0.001), 0.999))
-    sets = [
-        {h for word in {w for some in words_of(t) for w in some} for h in entries(word)}
-        for t, out in zip(texts, held) if not out
-    ]
-    rows, ratios = class_ratios(sets, labels[~held])
+    rows, ratios = class_ratios(
+        [different_entries(t) for t, out in zip(texts, held) if not out], labels[~held]
+    )
     net = start(rows, ratios)
     examples = [example(t, rows) for t in texts]
     train_net(net, [e for e, out in zip(examples, held) if not out], labels[~held])
