@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "job_queries")
+MODULES = ("text_queries", "job_queries", "index_queries")
 
 
 def load():

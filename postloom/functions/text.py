@@ -144,15 +144,23 @@ def found_in(found: Column, wanted, spellings: list[str]) -> Column:
     return F.arrays_overlap(found, lit_array(signs_of(wanted, spellings)))
 
 
-def techs_in(found: Column, terms: TermDictionary, spellings: list[str]) -> Column:
-    """Display names of the dictionary entries shown by ``found``, ordered by canonical name."""
-    entries: dict[str, dict] = {}
+def techs_by_name(terms: TermDictionary) -> list[tuple[str, str]]:
+    """(name, entry), ordered by entry; of entries with one name (ignoring case) only the first."""
+    first: dict[str, tuple[str, str]] = {}
     for entry in sorted(terms.entries):
         name = terms.name(entry)
-        entries.setdefault(
-            name.lower(), {"name": name, "signs": signs_of(terms.entries[entry], spellings)}
-        )
-    table = lit_rows(list(entries.values()))
+        first.setdefault(name.lower(), (name, entry))
+    return list(first.values())
+
+
+def techs_in(found: Column, terms: TermDictionary, spellings: list[str]) -> Column:
+    """Display names of the dictionary entries shown by ``found``, ordered by canonical name."""
+    table = lit_rows(
+        [
+            {"name": name, "signs": signs_of(terms.entries[entry], spellings)}
+            for name, entry in techs_by_name(terms)
+        ]
+    )
     shown = F.filter(table, lambda e: F.arrays_overlap(found, e["signs"]))
     return F.when(F.size(found) == 0, lit_array([])).otherwise(F.transform(shown, lambda e: e["name"]))
 

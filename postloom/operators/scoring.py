@@ -94,7 +94,8 @@ class _Wishes:
         return F.transform(chosen, lambda p: p["name"])
 
 
-def _texts(df: DataFrame) -> DataFrame:
+def scoring_texts(df: DataFrame) -> DataFrame:
+    """``df`` with the lower-cased, normalised texts a score looks at."""
     flat = {
         "__title": F.col("title"),
         "__stack": F.array_join(F.col("stack"), " "),
@@ -106,7 +107,7 @@ def _texts(df: DataFrame) -> DataFrame:
 
 def tech_scores(df: DataFrame, profile: MatchProfile, out: str = "tech_scores") -> DataFrame:
     """Add one score per wished technology: title, stack and description hits with weights."""
-    return _with_tech_scores(_texts(df), _Wishes(profile), out).select(*df.columns, out)
+    return _with_tech_scores(scoring_texts(df), _Wishes(profile), out).select(*df.columns, out)
 
 
 def _with_tech_scores(texts: DataFrame, w: _Wishes, out: str) -> DataFrame:
@@ -154,21 +155,15 @@ def _judged(df: DataFrame, profile: MatchProfile, w: _Wishes) -> DataFrame:
         raise ValueError("scoring needs salary_min, salary_max and remote_type")
     scores = F.col("__scores")
     combined, found = F.col("__combined"), F.col("__context")
-
-    def paid(name: str) -> Column:
-        return F.coalesce(F.col(name) != 0, F.lit(False))
-
     near = found_in(found, w.places, w.context) if w.places else F.lit(False)
-    remote_type = F.lower(normalize_text(F.col("remote_type")))
-    everything = F.concat_ws(" ", "__title", "__stack", "__description", "__location")
     return (
-        _with_tech_scores(_texts(df), w, "__scores")
-        .withColumn("__combined", everything)
+        _with_tech_scores(scoring_texts(df), w, "__scores")
+        .withColumn("__combined", all_texts())
         .withColumns(
             {
                 "__context": spellings_in(combined, w.context) if w.context else lit_array([]),
-                "__remote": remote_type.isin("remote", "remoto") | combined.contains("remot"),
-                "__paid": paid("salary_min") | paid("salary_max"),
+                "__remote": is_remote(combined),
+                "__paid": is_paid(),
                 "__factor": seniority_factor(F.col("seniority"), profile.seniority),
                 "__base": base_score(scores, profile),
                 "__matched": w.picked(scores, w.techs, True),
@@ -182,11 +177,30 @@ def _judged(df: DataFrame, profile: MatchProfile, w: _Wishes) -> DataFrame:
                 "__bad_words": w.bad_words(found),
             }
         )
-        .withColumns({"__bonus": _bonus(), "__penalty": _penalty(profile)})
+        .withColumns({"__bonus": bonus(), "__penalty": penalty(_not_remote(profile))})
     )
 
 
-def _bonus() -> Column:
+def all_texts() -> Column:
+    """All of :func:`scoring_texts` as one text."""
+    return F.concat_ws(" ", "__title", "__stack", "__description", "__location")
+
+
+def is_remote(combined: Column) -> Column:
+    stated = F.lower(normalize_text(F.col("remote_type"))).isin("remote", "remoto")
+    return stated | combined.contains("remot")
+
+
+def is_paid() -> Column:
+    def paid(name: str) -> Column:
+        return F.coalesce(F.col(name) != 0, F.lit(False))
+
+    return paid("salary_min") | paid("salary_max")
+
+
+def bonus() -> Column:
+    """From ``__remote``, ``__near`` and ``__paid``."""
+
     def worth(test: str, value: float) -> Column:
         return F.when(F.col(test), value).otherwise(0.0)
 
@@ -197,12 +211,14 @@ def _not_remote(profile: MatchProfile) -> Column:
     return ~F.col("__remote") if profile.remote_only else F.lit(False)
 
 
-def _penalty(profile: MatchProfile) -> Column:
+def penalty(not_remote: Column) -> Column:
+    """From ``__paid``, ``__bad_words`` and ``__missing_must``."""
+
     def costs(test: Column, value: float) -> Column:
         return F.when(test, value).otherwise(0.0)
 
     return (
-        costs(_not_remote(profile), v.NOT_REMOTE_PENALTY)
+        costs(not_remote, v.NOT_REMOTE_PENALTY)
         + costs(~F.col("__paid"), v.NO_SALARY_PENALTY)
         + F.size("__bad_words") * v.NEGATIVE_KEYWORD_PENALTY
         + costs(F.size("__missing_must") > 0, v.MISSING_MUST_PENALTY)
@@ -216,8 +232,8 @@ def context_adjustments(df: DataFrame, profile: MatchProfile | None = None) -> D
     return judged.select(*df.columns, F.col("__bonus").alias("bonus"), F.col("__penalty").alias("penalty"))
 
 
-def _explanations(profile: MatchProfile) -> tuple[Column, Column]:
-    """(positive, negative) reasons in their fixed order."""
+def explanations(not_remote: Column) -> tuple[Column, Column]:
+    """(positive, negative) reasons in their fixed order, from the ``__`` columns and ``seniority``."""
     factor = F.col("__factor")
     level = F.coalesce(F.nullif(F.col("seniority"), F.lit("")), F.lit(v.REASON_SENIORITY_UNKNOWN))
 
@@ -237,7 +253,7 @@ def _explanations(profile: MatchProfile) -> tuple[Column, Column]:
         F.when(factor == 0, F.concat(F.lit(v.REASON_SENIORITY_MISFIT), level)).when(
             factor != 1, F.concat(F.lit(v.REASON_SENIORITY_PENALTY), level)
         ),
-        F.when(_not_remote(profile), v.REASON_NOT_REMOTE),
+        F.when(not_remote, v.REASON_NOT_REMOTE),
         F.when(~F.col("__paid"), v.REASON_NO_SALARY),
     ]
     words = F.transform("__bad_words", lambda k: F.concat(F.lit(v.REASON_NEGATIVE), k))
@@ -247,6 +263,17 @@ def _explanations(profile: MatchProfile) -> tuple[Column, Column]:
     )
 
 
+def final_score() -> Column:
+    raw = F.col("__base") * F.col("__factor") + F.col("__bonus") - F.col("__penalty")
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2)
+
+
+def reasons_of(not_remote: Column) -> Column:
+    return _reasons(
+        F.col("score"), F.col("__matched"), F.col("__missing"), F.col("__factor"), *explanations(not_remote)
+    )
+
+
 def score_postings(df: DataFrame, profile: MatchProfile | None = None) -> DataFrame:
     """Add ``score`` (0 to 100, two decimals) and ``score_reasons``."""
     profile = profile or MatchProfile()
@@ -256,13 +283,9 @@ def score_postings(df: DataFrame, profile: MatchProfile | None = None) -> DataFr
         reasons = _reasons(none, nothing, nothing, F.lit(1.0), nothing, lit_array([v.REASON_NO_STACK]))
         return df.withColumns({"score": none, "score_reasons": reasons})
     judged = _judged(df, profile, w)
-    raw = F.col("__base") * F.col("__factor") + F.col("__bonus") - F.col("__penalty")
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2)
-    reasons = _reasons(
-        F.col("score"), F.col("__matched"), F.col("__missing"), F.col("__factor"), *_explanations(profile)
-    )
+    reasons = reasons_of(_not_remote(profile))
     return (
-        judged.withColumn("score", score)
+        judged.withColumn("score", final_score())
         .withColumn("score_reasons", reasons)
         .select(*df.columns, "score", "score_reasons")
     )
