@@ -46,6 +46,13 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"postloom-{application}-")
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark knows; none where there is no folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

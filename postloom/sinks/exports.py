@@ -1,15 +1,16 @@
 """CSV, JSON lines and Markdown exports of stored jobs.
 
-CSV and JSON are written by as many tasks as the frame has partitions.  Markdown numbers its
-sections, so it takes a list that is limited already and writes one file.
+All are written by as many tasks as the frame has partitions.  Markdown numbers its sections: they are
+put in order over ranges, so that the files, in the order of their names, are the page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import vocabulary as v
+from postloom.operators.ordering import number_rows
 from postloom.operators.serve import project_job_dict, recent_jobs
 
 
@@ -31,7 +32,6 @@ def export_json(jobs: DataFrame, path: str) -> str:
 def markdown_sections(jobs: DataFrame, *order: Column) -> DataFrame:
     """(rank, section) per job; fixed layout."""
     order = order or (F.desc_nulls_first("created_at"), F.asc("link"))
-    rank = F.row_number().over(Window.orderBy(*order))
 
     def text(name: str, default: str) -> Column:
         return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default))
@@ -47,15 +47,15 @@ def markdown_sections(jobs: DataFrame, *order: Column) -> DataFrame:
         F.concat(F.lit("- Link: "), F.col("link")),
         F.lit(""),
     )
-    return jobs.withColumn("rank", rank).select("rank", section.alias("section"))
+    return number_rows(jobs, "rank", *order, start=1).select("rank", section.alias("section"))
 
 
 def export_markdown(jobs: DataFrame, path: str, title: str = "Daily Report", *order: Column) -> str:
     sections = markdown_sections(jobs, *order)
     head = jobs.sparkSession.range(1).select(
-        F.lit(0).alias("rank"), F.lit(f"# {title}\n").alias("section")
+        F.lit(0).cast("long").alias("rank"), F.lit(f"# {title}\n").alias("section")
     )
-    page = head.unionByName(sections).coalesce(1).sortWithinPartitions("rank")
+    page = head.unionByName(sections).repartitionByRange("rank").sortWithinPartitions("rank")
     page.select("section").write.text(path)
     return path
 

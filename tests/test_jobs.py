@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import html
 from postloom.operators import postings as ops
-from postloom.operators import report, scoring, serve
+from postloom.operators import ordering, report, scoring, serve
 from postloom.operators import store as state
 from postloom.plans.daily_run import RunSettings, numbered, run
 from postloom.profile import MatchProfile
@@ -164,7 +164,8 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     again = payloads.filter("id = 3").unionByName(payloads.filter("id = 4").withColumns({"link": F.lit("https://vagas.example.org/oferta/new"), "id": F.lit(99)}))
     assert stored.upsert_store(spark, store, again, empty, later, 2, 8) == {"affected": 2, "inserted": 1, "updated": 1}
     second = stored.pointer(spark, store)
-    assert {b for b in first if first[b] != second[b]} == {r[0] for r in again.select(stored.bucket_of("link", 8)).distinct().collect()}
+    hit = {r[0] for r in again.select(F.pmod(stored.by_link(), F.lit(8))).distinct().collect()}
+    assert {b for b in {*first, *second} if first.get(b) != second.get(b)} == {(8, b) for b in hit}
     after = {r.id: r for r in stored.current_store(spark, store).collect()}
     assert len(after) == 21 and after[3].seen_count == 2 and after[99].created_at == later and after[5].last_seen_at == NOW
     assert stored.upsert_store(spark, store, again.limit(0), empty, later, 3, 8)["affected"] == 0
@@ -589,3 +590,70 @@ def test_shared_folder(spark):
         shared_folder(session_with(None, "spark://host:7077"))
     local = session_with(None, "local[2]")
     assert shared_folder(local) == shared_folder(local)
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rows = spark.range(5000).withColumn("k", F.col("id") % 7).repartition(6)
+    placed = ordering.number_rows(rows, "n", F.desc("k"), "id", start=1)
+    want = sorted(((i % 7, i) for i in range(5000)), key=lambda r: (-r[0], r[1]))
+    assert [(r.k, r.id) for r in placed.orderBy("n").collect()] == want
+    assert sorted(r.n for r in placed.collect()) == list(range(1, 5001))
+    assert ordering.number_rows(rows.where("false"), "n", "id").collect() == []
+
+
+def test_markdown_sections_do_not_meet_in_one_task(spark, tmp_path):
+    jobs = spark.range(3000).select(
+        F.concat(F.lit("t"), "id").alias("title"), F.lit(None).cast("string").alias("company"), F.lit("").alias("location"),
+        F.lit(1.0).alias("score"), F.format_string("https://x/%05d", "id").alias("link"), F.lit(NOW).cast("timestamp").alias("created_at"),
+    )
+    sections = exports.markdown_sections(jobs.repartition(8))
+    assert "SinglePartition" not in sections._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+    # Only the counts of the ranges pass a window.
+    assert sections._jdf.queryExecution().executedPlan().toString().count("SinglePartition") == 1
+    path = exports.export_markdown(jobs.repartition(8), str(tmp_path / "page"))
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "page").glob("part-*")))
+    heads = [line for line in text.splitlines() if line.startswith("#")]
+    assert heads == ["# Daily Report", *[f"## {i + 1}. t{i}" for i in range(3000)]] and path
+
+
+def landed_batch(spark, links, version):
+    rows = postings(spark, *[{"link": f"https://vagas.example.org/oferta/{i}", "title": f"Vaga {i} v{version}", "company": f"C{i}", "description": f"texto {i} {version}"} for i in links])
+    return rows.drop("seq")
+
+
+def test_compacted_sightings_are_the_fold_of_all(spark, tmp_path):
+    stores = {name: str(tmp_path / name) for name in ("plain", "compacted")}
+    days = [range(0, 6), range(3, 9), range(0, 2), range(8, 12)]
+    columns = "link", "id", "title", "seen_count", "created_at", "last_seen_at"
+    for number, links in enumerate(days):
+        for name, store in stores.items():
+            batch = materialize(landed_batch(spark, links, number), "landed")
+            # The third batch is seen at an earlier time than the second.
+            seen = NOW + dt.timedelta(days=(0, 2, 1, 3)[number])
+            incremental.apply_batch(batch, number, store, seen, run=f"day {number}")
+            if name == "compacted" and number in (1, 2):
+                assert incremental.compact(spark, store) == number - 1
+    got = {name: sorted(map(str, incremental.current(spark, store).select(*columns).collect())) for name, store in stores.items()}
+    assert got["plain"] == got["compacted"] and len(got["plain"]) == 12
+    compacted = stores["compacted"]
+    assert incremental.compact(spark, compacted, 3) == 3 == incremental.compact(spark, compacted, 2)
+    assert sorted(map(str, incremental.current(spark, compacted).select(*columns).collect())) == got["plain"]
+    read = incremental.current(spark, compacted).inputFiles()
+    assert read and all("/base/upto=3" in f for f in read)
+    # A later batch is folded onto the base, and a retry of it changes nothing.
+    for _ in range(2):
+        incremental.apply_batch(materialize(landed_batch(spark, [0, 50], 9), "landed"), 4, compacted, NOW + dt.timedelta(days=9), run="day 9")
+    after = {r.link[-3:]: r for r in incremental.current(spark, compacted).collect()}
+    assert len(after) == 13 and after["a/0"].seen_count == 3 and after["a/0"].title == "Vaga 0 v9"
+    assert len({r.id for r in after.values()}) == 13
+
+
+def test_a_micro_batch_reads_only_the_keys_of_its_run(spark, tmp_path):
+    store = str(tmp_path / "store")
+    for number, run_name in enumerate(["old/1", "old/1", "new 2"]):
+        incremental.apply_batch(materialize(landed_batch(spark, [number], number), "landed"), number, store, NOW, run=run_name)
+    kept = incremental._kept_before(spark, store, 3, "new 2")
+    assert kept.columns == ["link", "fingerprint", "content_hash"] and kept.count() == 1
+    assert all("run=new%202/batch=2/" in f.replace("%2520", "%20") for f in kept.inputFiles())
+    assert incremental._kept_before(spark, store, 2, "new 2") is None
+    assert incremental._kept_before(spark, store, 1, "old/1").count() == 1
