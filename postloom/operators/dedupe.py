@@ -9,11 +9,16 @@ certainly kept; whatever shares a key with it is certainly dropped; the rest goe
 round.  Per round this takes one map-side combined minimum per key, so a key held by a third of
 all rows costs one row per map task, and joins that only look keys up, so that adaptive execution
 may split a hot key over many tasks.  No two rows are ever paired.
+
+Such rounds decide one posting after the other along a chain, where each shares a key with the next.
+Whether a posting is kept that comes second in some of its groups, always after the same one, and first
+in the others, is the opposite of that one's fate; so chains of such postings are decided
+together, by pointer jumping to the one they begin with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from postloom.functions import batches
@@ -38,6 +43,45 @@ def _firsts_of_all_keys(undecided: DataFrame) -> DataFrame:
     return firsts.withColumn("won", won).filter(F.col("won") == 2 ** len(KEYS) - 1).drop("won")
 
 
+def _kept_along_chains(undecided: DataFrame) -> DataFrame:
+    """(kind, key, seq) of postings that are first in all their groups, and of all that are kept along the
+    chains that begin with these."""
+    tagged = undecided.select(
+        "seq", F.posexplode(F.array(*KEYS)).alias("kind", "key")
+    )
+    # A rank limit is applied inside the map tasks too, so a hot key is two rows of each.
+    rank = F.row_number().over(Window.partitionBy("kind", "key").orderBy("seq"))
+    groups = tagged.withColumn("rank", rank).where("rank <= 2").groupBy("kind", "key").agg(
+        F.min("seq").alias("first"), F.max("seq").alias("second")
+    )
+    members = F.array(
+        F.struct(F.col("first").alias("seq"), F.lit(None).cast("long").alias("after")),
+        F.when(F.col("second") > F.col("first"), F.struct(F.col("second").alias("seq"), F.col("first").alias("after"))),
+    )
+    roles = groups.select(F.explode(F.array_compact(members)).alias("role")).groupBy("role.seq").agg(
+        F.count(F.lit(1)).alias("groups"), F.min("role.after").alias("after"), F.max("role.after").alias("last")
+    )
+    whole = (F.col("groups") == len(KEYS)) & (F.col("after").eqNullSafe(F.col("last")))
+    links, begun = written(roles.where(whole).select("seq", "after", F.lit(False).alias("dropped")), "chains")
+    while begun:
+        ahead = links.select(
+            F.col("seq").alias("after"), F.col("after").alias("next"), F.col("dropped").alias("turned")
+        )
+        # Chains that begin with a posting that cannot be decided yet end here.
+        moved = links.join(ahead, "after").select(
+            "seq", F.col("next").alias("after"), (F.col("dropped") == F.col("turned")).alias("dropped")
+        )
+        seen = Observation()
+        links = materialize(
+            links.where("after IS NULL").unionByName(moved).observe(seen, F.count("after").alias("open")), "chains"
+        )
+        begun = seen.get["open"]
+    kept = links.where("after IS NULL AND NOT dropped").select("seq")
+    return undecided.join(kept, "seq", "left_semi").select(
+        F.posexplode(F.array(*KEYS)).alias("kind", "key"), "seq"
+    )
+
+
 def check_order(numbered: DataFrame) -> None:
     """Fail where ``seq`` is no order: a number is missing or given twice."""
     rows, numbers = numbered.agg(F.count(F.lit(1)), F.count_distinct("seq")).first()
@@ -51,10 +95,9 @@ def kept_sequence(
     """``seq`` of the postings to keep, from rows of (seq, link, fingerprint, content_hash).
 
     ``seq`` is a unique total order; otherwise this fails.  Random input needs a handful of
-    rounds; long chains of alternating conflicts need many, so after ``tail_after`` rounds a
-    remainder of at most ``tail_rows`` rows is decided by the sequential rule in one task.  A
-    larger remainder goes on in rounds, however many it takes: each one decides at least its first
-    posting.  Rows are counted as they are written.
+    rounds.  After ``tail_after`` rounds a remainder of at most ``tail_rows`` rows is decided by the
+    sequential rule in one task; a larger one goes on in rounds that decide whole chains, however many it
+    takes: each one decides at least its first posting.  Rows are counted as they are written.
     """
     check_order(keyed)
     # A missing key counts as a value of its own, as joins would never match it.
@@ -68,7 +111,8 @@ def kept_sequence(
             ordered = undecided.coalesce(1).sortWithinPartitions("seq")
             kept.append(materialize(ordered.mapInPandas(batches.first_in_order, "seq long"), "dedupe-kept"))
             break
-        winners, won = written(_firsts_of_all_keys(undecided), "dedupe-kept", "kind")
+        decide = _firsts_of_all_keys if rounds < tail_after else _kept_along_chains
+        winners, won = written(decide(undecided), "dedupe-kept", "kind")
         kept.append(winners.filter("kind = 0").select("seq"))
         rest = undecided
         for kind, key in enumerate(KEYS):

@@ -70,6 +70,29 @@ def test_chain_of_conflicts_needs_many_rounds(spark):
     assert kept(spark, rows, tail_after=1, tail_rows=5) == sequential(rows)
 
 
+def test_a_long_chain_needs_few_rounds(spark, monkeypatch):
+    """100,000 postings in one chain: each round of pointers doubles what is known."""
+    steps = []
+    for name in ("written", "materialize"):
+        inner = getattr(dedupe, name)
+        monkeypatch.setattr(dedupe, name, lambda df, label, *more, inner=inner: (steps.append(label), inner(df, label, *more))[1])
+    n = 100_000
+    rows = spark.range(n).selectExpr(
+        "id AS seq", "concat('l', id div 2) AS link", "concat('f', (id + 1) div 2) AS fingerprint", "concat('h', id) AS content_hash"
+    )
+    found = dedupe.kept_sequence(rows, tail_rows=0)
+    assert found.where("seq % 2 = 1").count() == 0 and found.distinct().count() == n // 2
+    assert steps.count("dedupe-open") - 1 <= 4 and len(steps) <= 30
+
+
+def test_chains_that_branch_and_meet(spark):
+    """Postings that come after two others, third in a group, or after one they share two keys with."""
+    rng = random.Random(8)
+    for values in (4, 9, 25):
+        rows = [(i, f"l{i // 2 if rng.random() < 0.7 else rng.randrange(values)}", f"f{(i + 1) // 2}", f"h{rng.randrange(values * 9)}") for i in range(300)]
+        assert kept(spark, rows, tail_after=0, tail_rows=0) == sequential(rows)
+
+
 def test_one_key_held_by_a_third_of_all_rows(spark):
     rng = random.Random(4)
     rows = [
