@@ -72,22 +72,20 @@ def decide(
     )
 
 
-def drop_copies(docs: DataFrame, **settings: int) -> DataFrame:
-    """``docs`` with one row of each text, all columns unchanged."""
-    decided = materialize(decide(docs, **settings), "decided")
-    sha = free_name(docs, "text_sha256")
-    keyed = docs.withColumn(sha, F.lower(F.hex(digest("text"))))
-
-    def same_document(other: DataFrame):
-        return keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[sha] == other["text_sha256"])
-
-    lost = decided.where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
-    repeated = (
-        decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-        .drop("count")
+def drop_copies(
+    docs: DataFrame, heavy: int = 8192, tracked: int = 65536, copies: int = 1000
+) -> DataFrame:
+    """``docs`` with one row of each text, that of the largest id, all columns unchanged.
+
+    Rows of frequent texts go where they lie unless they have the winner's id.  The others are dealt out by
+    digest, so that each text moves at most once; a rank limit keeps one row per digest and map task.
+    """
+    keyed = materialize(docs.select("doc_id", digest("text").alias("key")), "digests")
+    sha, place, first = (free_name(docs, name) for name in ("sha", "place", "first"))
+    winners = materialize(frequent(keyed, heavy, tracked, copies), "winners").select(
+        F.col("key").alias(sha), F.struct(F.col("keep_id").alias("id")).alias(first)
     )
-    lost, repeated = materialize(lost, "copies"), materialize(repeated, "repeated")
-    keyed = keyed.join(lost, same_document(lost), "left_anti")
-    once = keyed.join(repeated, same_document(repeated), "left_anti")
-    twins = keyed.join(repeated, same_document(repeated), "left_semi")
-    return once.unionByName(twins.dropDuplicates(["doc_id", sha])).drop(sha)
+    left = docs.withColumn(sha, digest("text")).join(F.broadcast(winners), sha, "left")
+    left = left.where(F.col(first).isNull() | F.col("doc_id").eqNullSafe(F.col(first)["id"])).drop(first)
+    rank = F.row_number().over(Window.partitionBy(sha).orderBy(F.desc_nulls_last("doc_id")))
+    return left.withColumn(place, rank).where(F.col(place) == 1).select(*docs.columns)
