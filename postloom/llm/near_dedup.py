@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from postloom.llm.components import components
 from postloom.llm.exact_dedup import digest
 from postloom.llm.shared import free_name, materialize
+from postloom.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -252,21 +253,23 @@ class Search:
         slots = self.nodes.select(F.explode("bands").alias("bucket"), "class", "n_shingles")
         shared = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         self.slots = materialize(slots.join(shared.select("bucket"), "bucket", "left_semi"), "buckets")
+        self.texts = self.candidates()
 
-    def placed(self, table: DataFrame, column: str) -> DataFrame:
-        """``table`` with the id and hash that name the text of the class in ``column``."""
-        at = self.classes.select(F.col("class").alias(column), F.col("node").alias("doc_id"), "key")
-        return table.join(at, column)
+    def candidates(self) -> DataFrame:
+        """(class, text) of every class that shares a bucket: one row each, however often rows repeat."""
+        wanted = self.classes.join(self.slots.select("class").distinct(), "class", "left_semi")
+        wanted, rows = written(wanted.select("class", F.col("node").alias("doc_id"), "key"), "wanted")
+        small = F.broadcast(wanted) if rows <= BROADCAST_PAIRS else wanted
+        texts = self.docs.join(small, ["doc_id", "key"]).select("class", "text")
+        return materialize(texts.dropDuplicates(["class"]), "texts")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The written links among the pairs: both whole texts meet and are compared."""
-        pairs = materialize(self.placed(pairs, "b"), "pairs")
-        few = pairs.count() <= BROADCAST_PAIRS
-        small = F.broadcast if few else lambda table: table
-        right = self.docs.join(small(pairs), ["doc_id", "key"])
-        right = right.select("a", "b", F.col("text").alias("text_b"))
-        left = self.docs.join(small(self.placed(pairs.select("a").distinct(), "a")), ["doc_id", "key"])
-        left = left.select("a", F.col("text").alias("text_a"))
+        pairs, rows = written(pairs, "pairs")
+        small = F.broadcast if rows <= BROADCAST_PAIRS else lambda table: table
+        right = self.texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")).join(small(pairs), "b")
+        left = self.texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
+        left = left.join(small(pairs.select("a").distinct()), "a", "left_semi")
         both = right.join(left, "a").select("a", "b", "text_a", "text_b")
         links = both.mapInArrow(linked(self.size, self.threshold), "a long, b long")
         return materialize(links, "links")
@@ -326,7 +329,7 @@ class Search:
         """The written links that join components within a bucket."""
         rows = slots.count()
         few = F.broadcast if rows <= BROADCAST_PAIRS else lambda table: table
-        told = self.docs.join(few(self.placed(slots, "class")), ["doc_id", "key"]).withColumn(
+        told = self.texts.join(few(slots), "class").withColumn(
             "group", F.pmod(F.xxhash64("bucket", "block", "chunk"), F.lit(rows // GROUP + 1))
         )
         links = told.groupBy("group").applyInPandas(
@@ -402,4 +405,5 @@ def drop_near_copies(docs: DataFrame, size: int = 5, threshold: int = 80) -> Dat
     sha = free_name(docs, "sha")
     keyed = docs.withColumn(sha, digest("text"))
     same_text = keyed["doc_id"].eqNullSafe(lost["doc_id"]) & (keyed[sha] == lost["sha"])
-    return keyed.join(lost, same_text, "left_anti").drop(sha)
+    # The list grows with the documents, so at any size it is shuffled; each text moves once.
+    return keyed.join(lost.hint("merge"), same_text, "left_anti").drop(sha)

@@ -179,3 +179,33 @@ def test_components_of_long_chains_and_stars(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {i: 1 for i in range(2, 61)} | {i: 100 for i in range(101, 140)} | {200: 150}
     assert components(cases.empty(df)).collect() == []
+
+
+def test_many_repeated_rows_of_two_near_texts(spark):
+    """2,500 rows of each of two near texts, under one id each, meet as two texts."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    docs = spark.range(5000).selectExpr(
+        "id % 2 + 10 AS doc_id", f"CASE WHEN id % 2 = 0 THEN '{texts[0]}' ELSE '{texts[1]}' END AS text"
+    ).repartition(8)
+    search = near_dedup.Search(docs, 5, 80)
+    assert search.texts.count() == 2
+    rows = near_dedup.decide(docs).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, rows)) == [(10, 10, True, 2500), (11, 10, False, 2500)]
+    assert near_dedup.drop_near_copies(docs).select("doc_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_repeated_rows_of_a_winner_are_one(spark, copies):
+    docs = spark.range(4000).selectExpr("CASE WHEN id < 3000 THEN 7 WHEN id < 3500 THEN NULL ELSE id END AS doc_id",
+                                        "CASE WHEN id < 3600 THEN 'same' ELSE concat('t', id) END AS text", "1 AS place", "'x' AS first")
+    kept = drop_copies(docs, copies=copies)
+    assert kept.columns == docs.columns
+    rows = {r.text: r.doc_id for r in kept.collect()}
+    assert kept.count() == len(rows) == 401 and rows["same"] == 3599 and rows["t3700"] == 3700
+
+
+def test_each_text_moves_at_most_once(spark):
+    docs = cases.documents(spark)
+    plan = drop_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SortMergeJoin" not in plan
