@@ -226,20 +226,22 @@ def mix(
     """
     decided = decide_rows(docs, weights, share, seed, ranked).where("passes + ones > 0")
     wanted = materialize(decided.select(*KEY, "rows", "passes", "ones"), "taken")
-    sha, times, place = (free_name(docs, name) for name in ("sha", "copies", "place"))
+    sha, times, place, own_id, own_source, own_sha = (
+        free_name(docs, name) for name in ("sha", "copies", "place", "taken_id", "taken_source", "taken_sha")
+    )
     keyed = docs.withColumn(sha, digest("text"))
 
     def taken(some: DataFrame) -> DataFrame:
         some = some.select(
-            F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source"), F.col("sha").alias("taken_sha"),
+            F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("sha").alias(own_sha),
             F.struct("passes", "ones").alias(times),
         )
         same_row = (
-            keyed["doc_id"].eqNullSafe(some["taken_id"])
-            & keyed["source"].eqNullSafe(some["taken_source"])
-            & (keyed[sha] == some["taken_sha"])
+            keyed["doc_id"].eqNullSafe(some[own_id])
+            & keyed["source"].eqNullSafe(some[own_source])
+            & (keyed[sha] == some[own_sha])
         )
-        return keyed.join(some, same_row).drop("taken_id", "taken_source", "taken_sha")
+        return keyed.join(some, same_row).drop(own_id, own_source, own_sha)
 
     # At most one group of equal rows for each source and size is taken unevenly; it alone is ranked.
     uneven = (F.col("ones") > 0) & (F.col("ones") < F.col("rows"))

@@ -114,3 +114,12 @@ def test_empty_tables(spark):
     assert mixing.decide(none).collect() == [] and mixing.mix(none).collect() == []
     blank = cases.documents(spark).where("doc_id in (3, 4, 5)")
     assert {(r.target, r.taken) for r in mixing.decide(blank).collect()} == {(0.0, 0)}
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    docs = cases.documents(spark)
+    named = docs.withColumns({"taken_id": docs["doc_id"], "taken_source": docs["source"], "taken_sha": docs["lang"]})
+    mixed = mixing.mix(named)
+    assert mixed.columns == named.columns
+    assert mixed.where("NOT taken_id <=> doc_id OR NOT taken_source <=> source OR NOT taken_sha <=> lang").count() == 0
+    assert mixed.count() == mixing.mix(docs).count() > 0
