@@ -176,9 +176,10 @@ def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFra
     """Documents in ascending order of their ids, each with the ids of its whole text and the end id."""
     path = path or public_tokenizers.path(TOKENIZER)
     ordered = (
-        docs.select("doc_id", "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+        .repartitionByRange("doc_id", "digest")  # rows of one id, or without any, are dealt out too
+        .sortWithinPartitions("doc_id", "digest")
+        .drop("digest")
     )
     return ordered.mapInArrow(encoder(path, end), SCHEMA)
 
