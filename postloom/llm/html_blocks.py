@@ -13,9 +13,10 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# A quote counts where a value begins, and only if it is closed.  Nothing is tried twice (possessive).
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)(?:>|\Z)",
     re.DOTALL,
 )
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -26,6 +27,10 @@ WORDS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CODE = frozenset("script style".split())
 HIDDEN = CODE | frozenset("template title iframe".split())
+# The void elements that separate words.
+BREAKS = frozenset("br hr".split())
+# Innermost elements a path holds.
+DEEPEST = 64
 # These stand for what they hold, so paths leave them out.
 TRANSPARENT = frozenset("noscript object".split())
 # Drawings and formulas: only their elements may close themselves by a slash.
@@ -57,55 +62,76 @@ def names_of(tag: str, rest: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-EDGES = {tag: re.compile(rf"<(/?){tag}\b[^>]*>", re.I) for tag in HIDDEN}
+EDGES = {tag: re.compile(rf"<(/?){tag}\b[^>]*+(?:>|\Z)", re.I) for tag in HIDDEN}
 
 
-def end_of(tag: str, page: str, at: int) -> int | None:
-    """Where a hidden element that starts before ``at`` is over; templates may hold templates."""
-    depth = 1
-    for edge in EDGES[tag].finditer(page, at):
-        if edge[1]:
-            depth -= 1
-        elif tag == "template":
-            depth += 1
-        if not depth:
-            return edge.end()
-    return None
+class Ends:
+    """Where hidden elements of a page are over; every tag of them is looked for once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none: set[str] = set()  # tags without a further end
+        self.templates: dict[int, int] | None = None
+
+    def after(self, tag: str, start: int, at: int) -> int | None:
+        """End of the element whose start tag lies from ``start`` to ``at``; None if it is not closed."""
+        if tag == "template":  # they may hold templates
+            if self.templates is None:
+                self.templates, open_at = {}, []
+                for edge in EDGES[tag].finditer(self.page):
+                    if not edge[1]:
+                        open_at.append(edge.start())
+                    elif open_at:
+                        self.templates[open_at.pop()] = edge.end()
+            return self.templates.get(start)
+        if tag in self.none:
+            return None
+        for edge in EDGES[tag].finditer(self.page, at):
+            if edge[1]:
+                return edge.end()
+        self.none.add(tag)
+        return None
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks in page order: character references decoded, white space as one space, trimmed."""
     page = page or ""
+    ends = Ends(page)
     stack: list[tuple[str, ...]] = []
+    blocks: list[int] = []  # places in the stack of what is not inline
+    outer: list[tuple[str, ...]] = []  # of these, what paths hold
+    opened: dict[str, int] = {}  # open elements by tag
     found: list[Block] = []
     parts: list[str] = []
-    linked = 0
-    at = hidden = links = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                outer = tuple(e for e in stack if e[0] not in INLINE and e[0] not in TRANSPARENT)
+                path = tuple(outer[-DEEPEST:])
                 if linked * 2 > len(text):
-                    outer += (("a",),)
-                found.append(Block(outer, text, min(linked, len(text))))
+                    path += (("a",),)
+                found.append(Block(path, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def close(index: int) -> None:
-        nonlocal links
-        for element in stack[index:]:
-            links -= element[0] == "a"
-        del stack[index:]
+        while len(stack) > index:
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            if tag not in INLINE:
+                blocks.pop()
+                if tag not in TRANSPARENT:
+                    outer.pop()
 
     def text(start: int, end: int) -> None:
         nonlocal linked
-        if not hidden and end > start:
+        if end > start:
             piece = page[start:end]
             parts.append(piece)
-            if links:
+            if opened.get("a"):
                 linked += len(piece.strip())
 
     search = TOKEN.search
@@ -121,35 +147,38 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if token["end"]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag not in INLINE:
                 flush()
-            if place is not None:
-                close(place)
+            if opened.get(tag):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
-        if tag in HIDDEN and not token["rest"].rstrip().endswith("/"):
+        drawing = tag in FOREIGN or any(opened.get(t) for t in FOREIGN)
+        if token["rest"].endswith("/") and drawing:
+            continue
+        if tag in HIDDEN:
             # Code and other text that is not shown: up to its own end tag, whatever it contains.  A page
             # without that tag goes on behind the start tag, but for code, which is never text.
-            end = end_of(tag, page, at)
+            end = ends.after(tag, token.start(), at)
             at = end if end is not None else len(page) if tag in CODE else at
             continue
-        if token["rest"].endswith("/") and (tag in FOREIGN or any(e[0] in FOREIGN for e in stack)):
-            continue
         if tag in VOID:
-            parts.append(" ")
+            if tag in BREAKS:
+                parts.append(" ")
             if tag == "hr":
                 flush()
             continue
         if tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSED_BY_BLOCK or (stack[i][0] == tag and tag in CLOSED_BY_ITSELF):
-                    close(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        stack.append(names_of(tag, token["rest"]))
-        links += tag == "a"
+            if blocks:
+                last = stack[blocks[-1]][0]
+                if last in CLOSED_BY_BLOCK or (last == tag and tag in CLOSED_BY_ITSELF):
+                    close(blocks[-1])
+            blocks.append(len(stack))
+        names = names_of(tag, token["rest"])
+        if tag not in INLINE and tag not in TRANSPARENT:
+            outer.append(names)
+        stack.append(names)
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return found
 

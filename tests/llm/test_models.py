@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html.parser as html_parser
 import re
+import time
 import zlib
 
 import numpy as np
@@ -100,6 +102,58 @@ def test_only_code_and_hidden_text_is_left_out():
     assert paths == [(("p",),)]
 
 
+def test_quotes_and_breaks():
+    def texts(page):
+        return [b.text for b in html_blocks.blocks_of(page)]
+
+    assert texts("<p class='it's'>One sentence here.</p><p>Don't lose me.</p><p>Last.</p>") == ["One sentence here.", "Don't lose me.", "Last."]
+    assert texts("<p title=\"abc>One</p><p>Two</p>") == ["One", "Two"]
+    assert texts("<p title='a > b' data-x=\"c > 'd'\">One</p>") == ["One"]
+    assert texts("<p a = 'x>y' b=\"\">One") == ["One"]
+    assert texts("<p>super<wbr>cali</p><p>a<img src=x>b<br>c<hr>d</p>") == ["supercali", "ab c", "d"]
+    assert texts("<script src=x />var a=1;</script><p>One</p>") == ["One"]
+    assert texts("<svg><style/><text>in</text></svg><p>One</p>") == ["in", "One"]
+
+
+class TextNodes(html_parser.HTMLParser):
+    """An independent reading: all text but that of code, titles and templates."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.found = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in html_blocks.HIDDEN
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in html_blocks.HIDDEN
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.found += data.split()
+
+
+def test_all_text_nodes_survive(spark):
+    quotes = "<div title=\"it's > 5\"><p class='a \"b\"'>One <b>two</b></p><p id=x'y>three</p></div><p>it's \"so\"</p>"
+    pages = [r.html for r in table(spark, FOLDER, "pages").collect()] + [quotes]
+    for page in pages:
+        nodes = TextNodes()
+        nodes.feed(page or "")
+        nodes.close()
+        assert "".join(nodes.found) == "".join("".join(b.text.split()) for b in html_blocks.blocks_of(page))
+
+
+@pytest.mark.parametrize("unit,tail", [
+    ("<a ", '"'), ("<iframe>x", ""), ("<template>x", ""), ("<b>x", "</i>" * 60_000), ("<div>x", ""), ("<b>", "<p>x</p>" * 40_000),
+    ('<a x="', ""), ("<!-- ", ""), ("<svg>", "<path/>" * 40_000), ("<p a='", '"' * 9), ("<title>", ""),
+])
+def test_hostile_pages_take_linear_time(unit, tail):
+    """A page of about a megabyte in seconds."""
+    started = time.process_time()
+    html_blocks.blocks_of(unit * (600_000 // len(unit)) + tail)
+    assert time.process_time() - started < 10
+
+
 def test_articles_within_other_elements_are_read(spark):
     long = "Paragraph of the article, also with several words that go on for a while."
     wrapped = [f"<{t}><p>{long}</p></{t}>" for t in ("noscript", "object")] + [f"<p>{long} <math><mi>x</mi></math></p>"]
