@@ -398,6 +398,21 @@ def find_duplicates(spark, sf):
     return dedupe.find_duplicates(old, new).select("seq", "same_link", "same_fingerprint", "same_content_hash")
 
 
+@query(
+    "duplicates_by_posting",
+    duck.sql(
+        "SELECT n.seq, "
+        + ", ".join(f"count(*) FILTER (o.{k} = n.{k}) AS {k}_rows, min(o.seq) FILTER (o.{k} = n.{k}) AS {k}_id" for k in dedupe.KEYS)
+        + " FROM new n JOIN old o ON o.link = n.link OR o.fingerprint = n.fingerprint OR o.content_hash = n.content_hash GROUP BY n.seq",
+        "keyed",
+        extra=OLD,
+    ),
+)
+def duplicates_by_posting(spark, sf):
+    old, new = _stored_keys(spark, sf)
+    return dedupe.duplicates_by_posting(old.withColumn("id", F.col("seq")), new)
+
+
 # --- score --------------------------------------------------------------------------------------------
 
 

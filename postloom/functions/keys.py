@@ -42,37 +42,58 @@ def _latin() -> tuple[str, str, str]:
 LATIN, BASES, FOREIGN = _latin()
 
 
-def fold_accents(texts: Column) -> Column:
-    """Array of texts in compatibility form without combining marks.
+def _plain(text: Column) -> Column:
+    """Whether a text is ASCII: as many bytes as characters."""
+    return F.octet_length(text) == F.length(text)
+
+
+def _foreign(text: Column) -> Column:
+    return ~_plain(text) & text.rlike(FOREIGN)
+
 
-    Accented Latin letters are replaced inside the JVM.  Only single texts with other characters
-    that may decompose cross to Python; the rest crosses as NULL and stays as it is.
+def fold_latin(texts: Column) -> Column:
+    """Array of texts whose accented Latin letters are replaced, inside the JVM."""
+    return F.transform(texts, lambda t: F.when(_plain(t), t).otherwise(F.translate(t, LATIN, BASES)))
+
+
+def fold_others(folded: Column) -> Column:
+    """Array of texts of :func:`fold_latin` in compatibility form without combining marks.
+
+    Only single texts with other characters that may decompose cross to Python; the rest crosses as
+    NULL and stays as it is.  ``folded`` is mentioned often and should be a column.
     """
-    folded = F.transform(texts, lambda t: F.translate(t, LATIN, BASES))
-    crossing = F.transform(folded, lambda t: F.when(t.rlike(FOREIGN), t))
-    some = F.exists(folded, lambda t: t.rlike(FOREIGN))
-    other = _fold_udf()(F.when(some, crossing))
+    crossing = F.transform(folded, lambda t: F.when(_foreign(t), t))
+    other = _fold_udf()(F.when(F.exists(folded, _foreign), crossing))
     return F.coalesce(F.zip_with(other, folded, lambda a, b: F.coalesce(a, b)), folded)
 
 
+def fold_accents(texts: Column) -> Column:
+    """Array of texts in compatibility form without combining marks."""
+    return fold_others(fold_latin(texts))
+
+
 def _unifier(level: str, pattern: str, part: str):
     """Replace the spellings of a level; only texts that contain ``part`` are searched."""
     return lambda t: F.when(t.contains(part), F.regexp_replace(t, pattern, level)).otherwise(t)
 
 
-def normalize_keys(*texts: Column) -> Column:
-    """Array of key texts, one per input; NULL counts as ''.
+def _filled(*texts: Column) -> Column:
+    return F.array(*[F.coalesce(t, F.lit("")) for t in texts])
 
-    Lower-case words with one space between them and one spelling per level.  All inputs share
-    one Python call, and one ``transform`` per step, so that no step is evaluated twice.
-    """
-    filled = F.array(*[F.coalesce(t, F.lit("")) for t in texts])
-    words = F.transform(fold_accents(filled), F.lower)
+
+def _words(folded: Column) -> Column:
+    """Lower-case words with one space between them and one spelling per level, of folded texts."""
+    words = F.transform(folded, F.lower)
     for level, pattern, part in _LEVELS:
         words = F.transform(words, _unifier(level, rf"(?<![{WORD}])(?:{pattern})", part))
     return F.transform(words, lambda t: F.trim(F.regexp_replace(t, rf"[^{WORD}]+", " ")))
 
 
+def normalize_keys(*texts: Column) -> Column:
+    """Array of key texts, one per input; NULL counts as ''.  All inputs share one Python call."""
+    return _words(fold_accents(_filled(*texts)))
+
+
 def normalize_key(text: Column) -> Column:
     return normalize_keys(text)[0]
 
@@ -92,19 +113,20 @@ def _digest(parts) -> Column:
 
 def with_keys(df, fingerprint: str = "fingerprint", content_hash: str = "content_hash"):
     """Add both keys of every posting; the folded texts are computed once for the two."""
-    parts = normalize_keys(
+    texts = _filled(
         *[F.col(c) for c in ("title", "company", "location", "seniority")],
         stack_text(F.col("stack")),
         F.col("description"),
     )
     key_parts = F.col("__key_parts")
     return (
-        df.withColumn("__key_parts", parts)
+        df.withColumn("__folded", fold_latin(texts))
+        .withColumn("__key_parts", _words(fold_others(F.col("__folded"))))
         .withColumns(
             {
                 fingerprint: _digest([key_parts[i] for i in range(4)]),
                 content_hash: _digest([key_parts[i] for i in (0, 1, 2, 4, 5)]),
             }
         )
-        .drop("__key_parts")
+        .drop("__folded", "__key_parts")
     )

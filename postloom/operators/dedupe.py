@@ -196,3 +196,22 @@ def find_duplicates(store: DataFrame, postings: DataFrame) -> DataFrame:
     hits = flagged.withColumns(flags).filter(" OR ".join(flags)).withColumnsRenamed({k: f"hit_{k}" for k in KEYS})
     same = [F.col(k).eqNullSafe(F.col(f"hit_{k}")) for k in KEYS]
     return store.join(hits, same).drop(*[f"hit_{k}" for k in KEYS])
+
+
+def duplicates_by_posting(store: DataFrame, postings: DataFrame) -> DataFrame:
+    """What each posting repeats: one row per posting that shares a key with a stored row.
+
+    For every key the number of stored rows with it, and the smallest id among them as their
+    representative (0 and NULL without any).  Stored rows are first counted per key, map-side combined, so
+    a key held by many of them is one row to the join and no two rows are paired.  ``seq`` numbers the
+    postings.
+    """
+    found = postings.select("seq", *KEYS)
+    for key in KEYS:
+        classes = store.filter(F.length(key) > 0).groupBy(key).agg(
+            F.count(F.lit(1)).alias(f"{key}_rows"), F.min("id").alias(f"{key}_id")
+        )
+        found = found.join(classes, key, "left")
+    counts = {f"{k}_rows": F.coalesce(f"{k}_rows", F.lit(0)) for k in KEYS}
+    columns = [c for k in KEYS for c in (f"{k}_rows", f"{k}_id")]
+    return found.withColumns(counts).filter(" OR ".join(f"{k}_rows > 0" for k in KEYS)).select("seq", *columns)

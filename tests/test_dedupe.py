@@ -199,3 +199,14 @@ def test_hot_key_is_split_by_adaptive_execution(spark):
     finally:
         for k, x in before.items():
             spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
+def test_duplicates_are_told_per_posting(spark):
+    stored = spark.createDataFrame(
+        [(1, "a", "f", "h"), (2, "b", "f", None), (3, "c", "", "h2"), (4, "d", "f", "h")],
+        "id long, link string, fingerprint string, content_hash string",
+    )
+    batch = keyed(spark, [(10, "a", "f", "x"), (11, "z", "", "h2"), (12, "z", None, None), (13, "d", "g", "h")])
+    found = sorted(map(tuple, dedupe.duplicates_by_posting(stored, batch).collect()))
+    assert found == [(10, 1, 1, 3, 1, 0, None), (11, 0, None, 0, None, 1, 3), (13, 1, 4, 0, None, 2, 1)]
+    assert dedupe.duplicates_by_posting(stored.limit(0), batch).collect() == []
