@@ -15,10 +15,10 @@ TECHS = (
     "Python", "Java", "Django Rest Framework", "FastAPI", "Node.js", "Golang", "C++", "PHP",
     "React", "Data", "Python & PostgreSQL",
 )
-LOCATIONS = ("Remote Brazil", "São Paulo, Brasil", "Lisbon, Portugal", None, "Curitiba/PR - híbrido")
+LOCATIONS = ("Remote Brazil", "Recife, Brasil", "Porto, Portugal", None, "Curitiba/PR - híbrido")
 PHRASES = (
-    "Salário: R$ 10.000,00 - R$ 15.500,00. Contrato PJ, 100% remoto.",
-    "USD 9000 remote, contractor. Python and PostgreSQL",
+    "Faixa de R$ 8.250,50 a R$ 12.900,75 por mês, PJ, trabalho 100% remoto.",
+    "Pay: USD 7300 a month, remote contractor; Python with PostgreSQL",
     "CLT híbrido com Docker.",
     "Estágio presencial; Django Rest Framework, CI CD",
     "Anywhere. FastAPI, Redis, Celery, AWS; pessoa jurídica",

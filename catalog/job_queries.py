@@ -461,7 +461,7 @@ def seniority_factor(spark, sf):
     )
 
 
-STRICT = MatchProfile(must_have=("Python",), nice_to_have=("fast api", "Kafka"), negative_keywords=("C++", "estágio"), preferred_locations=("são paulo",), seniority="pleno", remote_only=True)
+STRICT = MatchProfile(must_have=("Python",), nice_to_have=("fast api", "Kafka"), negative_keywords=("C++", "estágio"), preferred_locations=("recife",), seniority="pleno", remote_only=True)
 
 
 @query(
