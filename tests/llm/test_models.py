@@ -59,6 +59,51 @@ def test_dual_descent_separates_what_can_be_separated():
     assert all((model.score(g) >= 0.5) == (1 in g) for g in rows)
 
 
+def sparse_rows(seed: int, n: int = 60):
+    r = np.random.default_rng(seed)
+    labels = r.integers(0, 2, n)
+    rows = [np.unique(np.r_[r.integers(0, 300, r.integers(0, 25)), 400 + y if r.random() < 0.8 else 402]).astype(np.int32) for y in labels]
+    return rows, labels
+
+
+def test_ratios_are_those_of_smoothed_counts():
+    rows, labels = sparse_rows(1)
+    found = quality.log_ratios(rows, labels)
+    total = [sum(len(g) for g, y in zip(rows, labels) if y == c) + quality.SIZE * quality.SMOOTHING for c in (0, 1)]
+    for k in [*range(0, 410, 7), 400, 401, 402, 5000]:
+        counts = [sum(k in g for g, y in zip(rows, labels) if y == c) + quality.SMOOTHING for c in (0, 1)]
+        assert found[k] == pytest.approx(np.log(counts[1] / total[1] / (counts[0] / total[0])))
+
+
+def test_dual_descent_closes_the_gap_of_the_hinge_loss(monkeypatch):
+    """The primal loss of the fitted weights is that of plain subgradient descent, or below."""
+    monkeypatch.setattr(quality, "EPOCHS", 400)
+    rows, labels = sparse_rows(2)
+    ratios = quality.log_ratios(rows, labels)
+    scaled, bias = quality.dual_descent(rows, labels, ratios)
+    size, signs = 403, np.where(labels == 1, 1.0, -1.0)
+    x = np.zeros((len(rows), size + 1))
+    for row, grams in zip(x, rows):
+        row[grams] = ratios[grams] / max(len(grams), 1) ** quality.LENGTH
+    x[:, size] = 1.0  # the intercept is one more weight
+    costs = quality.COST * 0.5 / (np.bincount(labels) / len(labels))[labels]
+
+    def loss(w):
+        return 0.5 * w @ w + costs @ np.maximum(1 - signs * (x @ w), 0)
+
+    weights = np.divide(scaled[:size], ratios[:size], out=np.zeros(size), where=ratios[:size] != 0)
+    fitted = np.r_[weights, bias]
+    w = best = np.zeros(size + 1)
+    for step in range(1, 20_000):
+        wrong = signs * (x @ w) < 1
+        w = w - (w - (costs * signs * wrong) @ x) / step
+        best = w if loss(w) < loss(best) else best
+    assert loss(fitted) <= loss(best) + 1e-3
+    # Margins of the model are those of the plain product.
+    model = quality.Model(scaled.astype(np.float64), bias, 1.0, 0.0)
+    assert np.allclose([model.margin(g) for g in rows], x @ fitted, atol=1e-8)
+
+
 PAGES = [
     (1, "u", "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li>"
      "<li><a href='/a'>About</a></li></ul></nav><article><h1>A &amp; B</h1><p>First  long\n paragraph of <b>text</b> here "
