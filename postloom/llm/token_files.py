@@ -31,8 +31,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 # Characters encoded at once, which bounds the memory that encodings take.
 CHARS = 1_000_000
-# Different words that a task remembers.
-REMEMBERED = 400_000
+# Different words that a worker remembers: below 200 MB.
+REMEMBERED = 800_000
 # White space for every library, and all that any library takes for white space.
 SPACE = r" \t\n\r\f\v"
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -123,6 +123,17 @@ class WordEncoder:
         return [self.flat[_ranges(self.starts[row], self.stops[row])] for row in rows]
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which tasks that follow each other in it go on using.
+
+    It hangs on ``sys``, as this module's own variables are made anew for every task.
+    """
+    held = vars(sys).setdefault("_word_encoders", {})
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
+
+
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All positions from each start up to its end, one after the other."""
     sizes = ends - starts
@@ -144,7 +155,7 @@ def _stretches(texts: list[str], limit: int) -> Iterator[list[str]]:
 
 def encoder(path: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordEncoder(path)
+        words = worker_encoder(path)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
