@@ -41,16 +41,17 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS own, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, r.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM whole q JOIN whole r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.own, q.vec_id AS query_id, r.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM whole q JOIN whole r ON q.own <> r.own WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
-FROM scored WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+FROM scored WINDOW best AS (PARTITION BY own ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER best <= 5
 """
 

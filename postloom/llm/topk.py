@@ -6,19 +6,22 @@ finer range, until a bin is a single score.  A last pass selects everything abov
 the smallest ids of those equal to it.  A task only reports bins that can still hold the k-th best: its
 own k-th best bin and those above, at most k counts for each query.
 
-Queries are taken in batches of about ``batch`` rows, whose vectors are broadcast; the other side is
-never collected, and what a task reports does not depend on its size.
-
-Defined cases: vectors that are NULL, empty or hold NULL or non-finite components, and rows with a
-NULL id, take no part; vectors of unequal length are compared with zeros for the missing
-components; of rows that repeat an id the smallest vector counts; components beyond a long
-saturate and sums wrap around as longs do; an empty table gives an empty result.
+Queries are taken in batches of about ``batch`` rows, whose vectors are broadcast and released; the
+other side is never collected, and what a task reports does not depend on its size.  Each batch's
+selection is written, so that the plan is the same for any number of batches.
+
+Defined cases: vectors that are NULL or hold NULL or non-finite components, and rows with a NULL id,
+take no part; vectors of unequal length are compared with zeros for the missing components, so an
+empty one scores 0; rows that repeat an id are rows of their own, each a candidate of every
+other row and, where they are queries, each a query; components beyond a long saturate and sums wrap
+around as longs do; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.shared import materialize
+from postloom.session import new_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+T = TypeVar("T")
 BATCH = 4096
 BINS = 1024
 # Rows of the other side that are scored against a whole batch at once.
@@ -38,14 +43,16 @@ LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id and integer vector of every row that takes part."""
+    """Row number, vec_id and integer vector of every row that takes part.
+
+    The numbers tell rows apart that share an id; they are fixed once the table is written.
+    """
     x = F.transform("embedding", lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return (
-        vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite)
-        .select("vec_id", F.transform(x, lambda v: _floor(v * scale)).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.transform(x, lambda v: _floor(v * scale)).alias("v"),
     )
 
 
@@ -79,33 +86,39 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """One batch of queries: ids, vectors, and the score range that holds each k-th best.
+    """One batch of queries: row numbers, ids, vectors, and the score range that holds each k-th best.
 
     ``low`` and ``width`` are the range's start and bin width, ``above`` the candidates over it.
     """
 
-    def __init__(self, ids, vectors, k: int, low=None, width=None):
-        self.ids, self.vectors, self.k, self.low, self.width = ids, vectors, k, low, width
+    def __init__(self, rows, ids, vectors, k: int, low=None, width=None):
+        self.rows, self.ids, self.vectors, self.k, self.low, self.width = rows, ids, vectors, k, low, width
+
+    def apply(self, rows: DataFrame, name: str, schema: str, act: Callable[[DataFrame], T]) -> T:
+        """``act`` (an action) on what a method of this batch makes of every partition of ``rows``.
 
-    def apply(self, rows: DataFrame, name: str, schema: str) -> DataFrame:
-        """Run a method of this batch over the blocks of every partition of ``rows``."""
-        state = (self.ids, self.vectors, self.k, self.low, self.width)
+        The broadcast is released afterwards, so what ``act`` returns must not need it again.
+        """
+        state = (self.rows, self.ids, self.vectors, self.k, self.low, self.width)
         shared = rows.sparkSession.sparkContext.broadcast(state)
-        return rows.mapInArrow(lambda blocks: getattr(Batch(*shared.value), name)(blocks), schema)
+        try:
+            return act(rows.mapInArrow(lambda blocks: getattr(Batch(*shared.value), name)(blocks), schema))
+        finally:
+            shared.destroy()
 
     def blocks(self, batches: Iterator[pa.RecordBatch]):
-        """(row ids, scores) of blocks of rows; a query's own row scores nothing (masked)."""
-        place = np.argsort(self.ids)
+        """(ids, scores, counted) of blocks of rows; a query's own row is not counted."""
+        place = np.argsort(self.rows)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                ids = part.column(0).to_numpy()
-                scores = products(self.vectors, matrix(part.column(1), self.vectors.shape[1]))
+                rows = part.column(0).to_numpy()
+                scores = products(self.vectors, matrix(part.column(2), self.vectors.shape[1]))
                 other = np.ones(scores.shape, bool)
-                at = np.searchsorted(self.ids[place], ids)
-                hit = (at < len(place)) & (self.ids[place[np.minimum(at, len(place) - 1)]] == ids)
+                at = np.searchsorted(self.rows[place], rows)
+                hit = (at < len(place)) & (self.rows[place[np.minimum(at, len(place) - 1)]] == rows)
                 other[place[at[hit]], np.flatnonzero(hit)] = False
-                yield ids, scores, other
+                yield part.column(1).to_numpy(), scores, other
 
     def histograms(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(query number, bin, count): bin BINS is everything above the range."""
@@ -126,7 +139,7 @@ class Batch:
         )
 
     def select(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(query, vec_id, score) at or above the k-th best; of those equal to it the k smallest ids."""
+        """(query row, its id, vec_id, score) at or above the k-th best; of those equal to it the k smallest ids."""
         held: list[np.ndarray] = []
         for ids, scores, other in self.blocks(batches):
             query, column = np.nonzero(other & (scores >= self.low[:, None]))
@@ -135,8 +148,8 @@ class Batch:
                 held = [self._best(held)]
         best = self._best(held)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(self.ids[best[:, 0]]), pa.array(best[:, 1]), pa.array(best[:, 2])],
-            names=["query_id", "vec_id", "score"],
+            [pa.array(self.rows[best[:, 0]]), pa.array(self.ids[best[:, 0]]), pa.array(best[:, 1]), pa.array(best[:, 2])],
+            names=["query", "query_id", "vec_id", "score"],
         )
 
     def _best(self, held: list[np.ndarray]) -> np.ndarray:
@@ -161,20 +174,21 @@ def _bounds(batch: Batch, rows: DataFrame) -> None:
 
 def _refine(batch: Batch, rows: DataFrame) -> None:
     """Narrow every range to the single score that is the k-th best (or the lowest, if fewer)."""
-    last = False
-    while not last:
-        last = bool((batch.width == 1).all())
-        counts = batch.apply(rows, "histograms", "query long, bin long, n long")
+    down = Window.partitionBy("query").orderBy(F.col("bin").desc())
+
+    def reached(counts: DataFrame):
+        """The first bin from the top at which k are reached; the lowest bin where fewer exist."""
         total = counts.groupBy("query", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query").orderBy(F.col("bin").desc())
-        reached = total.select(
-            "query", "bin", F.sum("n").over(down).alias("n")
-        )
-        # The first bin from the top at which k are reached; the lowest bin where fewer exist.
-        found = reached.groupBy("query").agg(
+        sums = total.select("query", "bin", F.sum("n").over(down).alias("n"))
+        found = sums.groupBy("query").agg(
             F.max(F.when(F.col("n") >= batch.k, F.col("bin"))).alias("bin"), F.min("bin").alias("least")
         )
-        at = found.select("query", F.coalesce("bin", "least").alias("bin")).toPandas()
+        return found.select("query", F.coalesce("bin", "least").alias("bin")).toPandas()
+
+    last = False
+    while not last:
+        last = bool((batch.width == 1).all())
+        at = batch.apply(rows, "histograms", "query long, bin long, n long", reached)
         query, bins = at["query"].to_numpy(), at["bin"].to_numpy().astype(np.uint64)
         low, width = batch.low.copy(), batch.width.copy()
         low[query] = (low[query].view(np.uint64) + bins * width[query]).view(np.int64)
@@ -187,24 +201,29 @@ def _refine(batch: Batch, rows: DataFrame) -> None:
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, batch: int = BATCH
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other rows of every query row."""
+    """query_id, rank, vec_id, score: the k best other rows of every query row.
+
+    ``is_query`` is a condition on ``vec_id``.
+    """
     spark = vectors.sparkSession
     rows = materialize(quantized(vectors, scale), "vectors")
     queries = rows.where(is_query)
-    # Hashing deals ids evenly, so no part is much larger than ``batch``.
+    # Hashing deals row numbers evenly, so no part is much larger than ``batch``.
     parts = max(1, -(-queries.count() // batch))
-    schema = "query_id long, vec_id long, score long"
-    selected = spark.createDataFrame([], schema)
+    schema = "query long, query_id long, vec_id long, score long"
+    folder = new_folder(spark, "selected")
+    spark.createDataFrame([], schema).write.parquet(folder)  # readable also without any query
     for part in range(parts):
-        some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
-        table = some.orderBy("vec_id").toArrow()
+        some = queries.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == part)
+        table = some.orderBy("row").toArrow()
         if not table.num_rows:
             continue
-        held = table.column(1).combine_chunks()
-        one = Batch(table.column(0).to_numpy(), matrix(held), k)
+        held = table.column(2).combine_chunks()
+        one = Batch(table.column(0).to_numpy(), table.column(1).to_numpy(), matrix(held), k)
         _bounds(one, rows)
         _refine(one, rows)
-        selected = selected.unionByName(one.apply(rows, "select", schema))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        one.apply(rows, "select", schema, lambda found: found.write.mode("append").parquet(folder))
+    selected = spark.read.schema(schema).parquet(folder)
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     ranked = selected.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
