@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from catalog import inputs
+from postloom import session
 from postloom.functions import batches, keys
 from postloom.functions.text import normalize_text, normalized
+from postloom.plans import daily_run
 
 
 def test_one_row_group_is_work_for_many_tasks(spark, tmp_path, monkeypatch):
@@ -66,3 +70,18 @@ def test_pages_are_read_some_at_a_time(monkeypatch):
     got = read(Pages([f"<h1>{i}</h1>" for i in range(200)] + [None]))
     assert [r["h1"] for r in got.to_pylist()] == [*map(str, range(200)), None]
     assert max(at_once) == batches.PAGES and len(read(Pages([]))) == 0
+
+
+def test_a_run_writes_its_postings_once_before_they_are_scored(spark, tmp_path, monkeypatch):
+    line = '{"id": 1, "number": %d, "title": "Python Dev @ Acme", "body": "Django", "html_url": "https://x.example/jobs/%d", "state": "open"}'
+    (tmp_path / "a.json").write_text("\n".join(line % (i, i) for i in (1, 2)), encoding="utf-8")
+    names = []
+
+    def named(df, name, *by):
+        names.append(name)
+        return session.materialize(df, name, *by)
+
+    monkeypatch.setattr(daily_run, "materialize", named)
+    settings = daily_run.RunSettings(paths={"issues": str(tmp_path)}, now=dt.datetime(2026, 6, 1))
+    assert daily_run.run(spark, settings, dry_run=True).summary.first().jobs_found == 2
+    assert names == ["source-issues", "checked"]
