@@ -28,6 +28,12 @@ def test_one_row_group_is_work_for_many_tasks(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 1000 and max(sizes) <= 2 * 20
 
 
+def test_tasks_of_text_work_do_not_grow_with_the_table(spark):
+    """A task gets at most a thousand rows, so its time is that of these rows, whatever the size of the table."""
+    assert inputs._tasks(spark.range(200_000)) >= 200
+    assert inputs._tasks(spark.range(400_000)) == 2 * inputs._tasks(spark.range(200_000))
+
+
 def test_texts_in_order_are_left_as_they_are(spark):
     texts = ["", " ", "a b", " a", "a ", "a  b", "a\tb", "a b", " ", "é ü", "a\x85", "\x7f ~", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
