@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.functions import features, html, keys, urls
+from postloom.functions import batches, features, html, keys, urls
 from postloom.functions import text as tx
 from postloom.operators import postings as ops
 from postloom.operators import report, scoring
@@ -210,6 +211,31 @@ def test_labelled_field(spark):
     assert got == ["Recife", None, "Foo"]
 
 
+def test_key_texts_finish_what_is_ascii_once_folded(spark):
+    values = ["Sênior  Dev\t(Sr.dev, sr)", "a\u00a0b ﬁm ①", "mid-level_x mid-level", "sr.", "msr jr", "", "ação – Jr", "日本 Sr"]
+    done = batches.key_texts(pa.array([values, None, []], pa.list_(pa.string()))).to_pylist()
+    assert done[0][:6] == ["senior dev seniordev senior", "a b fim 1", "mid level_x pleno", "senior", "msr junior", ""]
+    assert done[0][6:] == ["acao – Jr", "日本 Sr"]  # folded; letters beyond ASCII are told apart in the JVM
+    in_jvm = keys._words(keys.fold_accents(F.array(*[text(x) for x in values])))
+    both = evaluate(spark, in_jvm, keys.normalize_keys(*[text(x) for x in values]))
+    assert list(both[0]) == list(both[1])
+
+
+def test_tidy_text_is_not_built_anew(spark):
+    pattern = tx._LOOSE
+    values = ["a b c", "a  b", "a\tb", " a", "a \u2003b", "a\u3000b"]
+    assert evaluate(spark, *[text(x).rlike(pattern) for x in values]) == [False, True, True, False, True, True]
+    words = tx.loose(tx.NO_WORD)
+    assert evaluate(spark, text("one two").rlike(words), text("one, two").rlike(words)) == [False, True]
+
+
+def test_terms_after_odd_characters(spark):
+    values = ["python", "xpython", "éphp", "(php)", "🐍python", "𝒂python", ".php", "c#php", "php php"]
+    found = [tx.spellings_in(text(x), ["php", "python"]) for x in values]
+    want = [["python"], [], [], ["php"], ["python"], ["python"], [], [], ["php"]]
+    assert [list(r) for r in evaluate(spark, *found)] == want
+
+
 def test_normalize_key(spark):
     values = ("Líder Kafka Sênior", "LÍDER  kafka SR.", "a|b_c", "mid-level x", "Jr.x ﬁ ²", None, "midlevel,mid level")
     got = evaluate(spark, *[keys.normalize_key(text(x)) for x in values])
